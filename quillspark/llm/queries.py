@@ -21,6 +21,70 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+OP1_SQL = """
+WITH v AS (
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+    WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY rank <= 5
+"""
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.byte_bpe import decode, encode
+
+    both = decode(encode(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN), BYTE_BPE, public_tokenizers.PATTERN)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), similarity=0.9)
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+           len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fine
+    FROM embeddings
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE a.fine AND b.fine AND list_cosine_similarity(a.e, b.e) >= 0.9
+),
+reached AS (
+    SELECT vec_id AS node, vec_id AS seen FROM v
+    UNION
+    SELECT reached.node, links.b FROM reached JOIN links ON reached.seen = links.a
+),
+roots AS (SELECT node, min(seen) AS component_id FROM reached GROUP BY node)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id) AS n_links, roots.component_id,
+       v.vec_id = roots.component_id AS kept
+FROM v JOIN roots ON roots.node = v.vec_id
+"""
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.token_files import read_documents, write_token_files
 
@@ -30,10 +94,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_topk": op1_topk,
         "op2_packing": op2_packing,
+        "op5_byte_bpe": op5_byte_bpe,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op9_token_files": op9_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_topk": OP1_SQL, "op6_embedding_dedup": OP6_SQL}
