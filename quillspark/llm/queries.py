@@ -85,6 +85,12 @@ FROM v JOIN roots ON roots.node = v.vec_id
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.token_files import read_documents, write_token_files
 
@@ -92,13 +98,21 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.minhash_dedup import near_documents
+
+    return near_documents(table(spark, sf_dir, "documents"), similarity=0.8, width=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
         "op2_packing": op2_packing,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_embedding_dedup": op6_embedding_dedup,
+        "op8_quality": op8_quality,
         "op9_token_files": op9_token_files,
+        "op10_minhash_dedup": op10_minhash_dedup,
     }
 
 
