@@ -47,6 +47,19 @@ QUALIFY rank <= 5
 """
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.secrets import digest, find_secrets
+
+    return digest(find_secrets(table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.pii import find_pii
+    from quillspark.llm.secrets import digest
+
+    return digest(find_pii(table(spark, sf_dir, "documents")), ("email", "ip", "card", "phone"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.byte_bpe import decode, encode
 
@@ -108,8 +121,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
         "op2_packing": op2_packing,
+        "op4_secrets": op4_secrets,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_embedding_dedup": op6_embedding_dedup,
+        "op7_pii": op7_pii,
         "op8_quality": op8_quality,
         "op9_token_files": op9_token_files,
         "op10_minhash_dedup": op10_minhash_dedup,
