@@ -47,6 +47,34 @@ QUALIFY rank <= 5
 """
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.chat import conversation_nodes, digests, format_trees
+
+    said = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema))
+    return digests(format_trees(conversation_nodes(rows))).withColumnRenamed("tree_id", "conv_id")
+
+
+OP3_SQL = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+),
+e AS (
+    SELECT *, replace(replace(replace(text, '\', '\\'), '<turn ', '\<turn '), '</turn>', '\</turn>') AS body,
+           replace(replace(replace(replace(role, '\', '\\'), '<turn ', '\<turn '), '</turn>', '\</turn>'), '>', '\>') AS head
+    FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(head) + length(body) + 16) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.secrets import digest, find_secrets
 
@@ -121,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
         "op2_packing": op2_packing,
+        "op3_chat": op3_chat,
         "op4_secrets": op4_secrets,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_embedding_dedup": op6_embedding_dedup,
@@ -132,4 +161,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op6_embedding_dedup": OP6_SQL}
+    return {"op1_topk": OP1_SQL, "op3_chat": OP3_SQL, "op6_embedding_dedup": OP6_SQL}
