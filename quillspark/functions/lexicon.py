@@ -65,6 +65,7 @@ CASED = {
     "fin_numeric": r"(?<![A-Za-z])[A-Z]{2,5}(?!\w)\s*(?:/|-|—)\s*[A-Za-z]|\$\d+(?:\.\d+)?\b|[-+]\d+(?:\.\d+)?%|\d+(?:\.\d+)?\s*bps\b",
     "provider": whole("Finnhub", "Bloomberg", "Reuters", "FactSet", "Refinitiv", "S&P Global", "S&P 500", "Moody'?s", "Fitch", "EDGAR", "SEC", "SEDAR", "Yahoo Finance", "Google Finance", "Morningstar", "CapIQ", "PitchBook", "Crunchbase", "CoinMarketCap", "CoinGecko", "Glassnode", "Dune Analytics", "Alpha Vantage", "Quandl", "FRED", "World Bank", "IMF", "BLS", "BEA", "Census Bureau", "Federal Reserve", "The Fed"),
     "venue": whole("NASDAQ", "NYSE", "TSX", "CSE", r"OTC(?:\s+Markets)?", "LSE", "ASX", "HKEX", "SGX", "Euronext", "CBOE", "CME", "NYMEX", "ICE", "Cboe"),
+    "listed_venue": whole("NASDAQ", "NYSE", "TSX", "CSE", r"OTC(?:\s+Markets)?", "LSE", "ASX", "HKEX", "SGX", "Euronext", "CBOE", "CME", "NYMEX", "ICE"),
     "numeric_anchor": r"\$\d+(?:\.\d+)?|\b\d+(?:\.\d+)?(?:\s*(?:%|bps|million|billion|M\b|B\b|K\b))",
     "ticker_price": r"\b[A-Z]{2,5}\b[^.!?\n]{0,80}(?:\$\d+(?:\.\d+)?|[-+]\d+(?:\.\d+)?%)",
     "mover": r"\b([A-Z]{2,5})\b(?:[^\n.!?]{0,40})(?:C?\$\s*\d+(?:\.\d+)?)[^\n.!?]{0,40}([-+]\d+(?:\.\d+)?%)",

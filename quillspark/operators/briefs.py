@@ -30,7 +30,7 @@ def sentence_class(sent: Column, kind: str) -> Column:
     """caveat, missing, key, attributed, view, forward, framing, or null; the first that fits."""
     caveat = F.when(T.has(sent, "caveat"), "caveat")
     if kind == "snapshot":
-        signal = sent.rlike(T.pattern("ticker_price")) | T.has(sent, "breadth") | T.has(sent, "session") | T.has(sent, "provider") | T.has(sent, "venue")
+        signal = sent.rlike(T.pattern("ticker_price")) | T.has(sent, "breadth") | T.has(sent, "session") | T.has(sent, "provider") | T.has(sent, "listed_venue")
         return caveat.when(T.has(sent, "missing"), "missing").when(signal, "key").when(T.has(sent, "interpretation"), "framing")
     if kind == "macro":
         spoken = T.has(sent, "statement_verb") & (sent.rlike("[\"“]") | T.has(sent, "name_pair"))
