@@ -153,11 +153,16 @@ def coherence(tokens: Column, sents: Column) -> Column:
     hits = count(F.array_join(low, " "), "connectives")
     connected = F.least(hits / F.greatest(F.size(sents), F.lit(1)) / 0.25, F.lit(1.0))
     variety = F.least(F.greatest((F.size(F.array_distinct(low)) / F.greatest(F.size(tokens), F.lit(1)) - 0.25) / 0.40, F.lit(0.0)), F.lit(1.0))
-    lengths = F.transform(sents, n_words)
-    n = F.greatest(F.size(lengths), F.lit(1))
-    mean = F.aggregate(lengths, F.lit(0), lambda a, x: a + x) / n
-    squares = F.aggregate(F.transform(lengths, lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    varied = F.when(F.size(sents) >= 3, F.least(F.sqrt(squares / n) / F.greatest(mean, F.lit(1.0)) / 0.5, F.lit(1.0))).otherwise(F.lit(0.5))
+    sums = F.struct(F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("xx"))
+    n = F.greatest(F.size(sents), F.lit(1))
+
+    def spread(a: Column) -> Column:
+        """Standard deviation over mean, from exact sums."""
+        return F.least(F.sqrt((n * a["xx"] - a["x"] * a["x"]).cast("double")) / n / F.greatest(a["x"] / n, F.lit(1.0)) / 0.5, F.lit(1.0))
+
+    lengths = F.transform(sents, lambda s: n_words(s).cast("bigint"))
+    relative = F.aggregate(lengths, sums, lambda a, x: F.struct((a["x"] + x).alias("x"), (a["xx"] + x * x).alias("xx")), spread)
+    varied = F.when(F.size(sents) >= 3, relative).otherwise(F.lit(0.5))
     return F.when(F.size(tokens) < 10, F.lit(0.5)).otherwise(clamp(0.45 * connected + 0.40 * variety + 0.15 * varied))
 
 
