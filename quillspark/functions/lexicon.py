@@ -12,6 +12,26 @@ def whole(*terms: str) -> str:
     return r"\b(?:" + "|".join(terms) + r")\b"
 
 
+def initials(pattern: str) -> str:
+    """The characters that a list made by whole() can start with; empty if one of them isn't plain."""
+    if not pattern.startswith(r"\b(?:") or not pattern.endswith(r")\b"):
+        return ""
+    depth, firsts, start = 0, [], True
+    for i, c in enumerate(pattern[5:-3], 5):
+        if start:
+            firsts.append(c)
+        start = c == "|" and depth == 0
+        escaped = pattern[i - 1] == "\\"
+        depth += (c == "(" and not escaped) - (c == ")" and not escaped)
+    return "".join(sorted({c.lower() for c in firsts})) if all(c.isalnum() for c in firsts) else ""
+
+
+def guarded(pattern: str, fold: bool) -> str:
+    """The pattern behind a look at the first character, so that Java tries the alternatives at few places only."""
+    first = initials(pattern)
+    return f"(?=[{first if fold else first + first.upper()}]){pattern}" if first else pattern
+
+
 def jvm(pattern: str, fold: bool = False, multiline: bool = False) -> str:
     return f"(?U{'i' * fold}{'m' * multiline}){pattern}"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.lexicon import CASED, FOLDED, jvm
+from quillspark.functions.lexicon import CASED, FOLDED, guarded, jvm
 
 _SPACE = r"[\s\x1c-\x1f]"
 PLACES = "array<struct<s:int,e:int,m:string>>"
@@ -35,7 +35,8 @@ def sentences(text: Column) -> Column:
 
 
 def pattern(name: str) -> str:
-    return jvm(FOLDED[name], fold=True) if name in FOLDED else jvm(CASED[name])
+    fold = name in FOLDED
+    return jvm(guarded(FOLDED[name] if fold else CASED[name], fold), fold=fold)
 
 
 def count(text: Column, name: str) -> Column:

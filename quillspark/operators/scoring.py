@@ -80,66 +80,63 @@ def document(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(v)) if c in have else F.lit(v) for c, v in fill.items()})
 
 
+def put(df: DataFrame, prefix: str, **columns: Column) -> DataFrame:
+    """df with columns __prefix_name: flat ones, since the optimizer repeats the fields of a struct at every mention."""
+    return df.withColumns({f"__{prefix}_{k}": v for k, v in columns.items()})
+
+
+def _of(prefix: str):
+    return lambda name: F.col(f"__{prefix}_{name}")
+
+
+_f, _r, _s, _d = map(_of, "frsd")
+
+
 def features(df: DataFrame) -> DataFrame:
-    """df (as document() gives it) with one struct column f: text forms, counts and sub-scores that need the text."""
+    """df (as document() gives it) with columns __f_*: text forms, counts and sub-scores that need the text."""
     text = F.col("text")
-    df = df.withColumn("f", F.struct(T.normalize(text).alias("normalized"), T.sentences(text).alias("sentences")))
-    counts = [T.count(text, name).alias(f"n_{name}") for name in COUNTED]
+    df = put(df, "f", normalized=T.normalize(text), sentences=T.sentences(text))
     marks = T.places(text, "evidence")
     anchored = F.size(F.filter(marks, lambda p: T.has(T.around(text, p, 80), "spec_window")))
-    more = F.struct(
-        "f.normalized", "f.sentences",
-        T.words(F.col("f.normalized")).alias("tokens"),
-        F.greatest(F.size("f.sentences"), F.lit(1)).alias("n_sentences"),
-        *counts,
-        T.count(text, "quote").alias("n_quotes"),
-        T.exclaims(text).alias("n_exclaims"),
-        anchored.alias("anchored"),
-        T.shouting(text).alias("shouting"),
-        T.attribution(text).alias("attribution"),
-        T.looks_non_english(text).alias("non_english"),
-        F.contains(F.lower(text), F.lit("sponsored")).alias("sponsored"),
-        R.links(text).alias("links"),
-        R.genre(F.col("f.normalized"), F.col("source_url")).alias("genre"),
-        T.found(text, "provider").alias("providers"),
-        T.found(text, "venue").alias("venues"),
+    df = put(
+        df, "f", tokens=T.words(_f("normalized")), n_sentences=F.greatest(F.size(_f("sentences")), F.lit(1)), **{f"n_{k}": T.count(text, k) for k in COUNTED},
+        n_quotes=T.count(text, "quote"), n_exclaims=T.exclaims(text), anchored=anchored, shouting=T.shouting(text), attribution=T.attribution(text), non_english=T.looks_non_english(text),
+        sponsored=F.contains(F.lower(text), F.lit("sponsored")), links=R.links(text), genre=R.genre(_f("normalized"), F.col("source_url")), providers=T.found(text, "provider"), venues=T.found(text, "venue"),
     )
-    df = df.withColumn("f", more)
-    extra = F.struct("f.*", F.size("f.tokens").alias("n_words"), (F.col("f.n_evidence") - F.col("f.anchored")).alias("unanchored"), T.coherence(F.col("f.tokens"), F.col("f.sentences")).alias("coherence"))
-    return df.withColumn("f", extra)
+    return put(df, "f", n_words=F.size(_f("tokens")), unanchored=_f("n_evidence") - _f("anchored"), coherence=T.coherence(_f("tokens"), _f("sentences")), link_bonus=_f("links")["bonus"])
 
 
 def resolved(df: DataFrame) -> DataFrame:
-    """df with features, with a struct column r: effective, declared and inferred type, confidence, mismatch."""
-    plain = R.resolve(F.col("text"), F.col("source_type"), F.col("source_url"))
-    return df.withColumn("r", plain).withColumn("r", R.resolve_by_genre(F.col("r"), F.col("f.genre")))
+    """df with features, with columns __r_*: effective, declared and inferred type, confidence, mismatch."""
+    df = put(df, "r", inferred=R.infer_type(F.col("text"), F.col("source_url")))
+    plain = R.resolve(F.col("text"), F.col("source_type"), F.col("source_url"), _r("inferred"))
+    by_genre = R.resolve_by_genre(plain, _f("genre"))
+    return put(df, "r", **{k: by_genre[k] for k in ("effective", "declared", "confidence", "mismatch")})
 
 
 def scores(df: DataFrame) -> DataFrame:
-    """df with features and resolution, with a struct column s of unrounded scores."""
-    f, per = lambda n: F.col(f"f.{n}"), lambda n: F.col(f"f.{n}") / F.col("f.n_sentences")
-    known = R.effective_type(F.col("text"), F.col("r.effective"), F.col("source_url"))
-    raw = R.custody_score(known, f("n_evidence"), f("n_anonymous"), f("n_quotes"), F.col("f.links.bonus"))
-    df = df.withColumn("s", F.struct(
-        raw.alias("custody_raw"), known.alias("label_type"),
-        T.clamp(per("n_specificity") * 0.9).alias("specificity"),
-        T.clamp((f("anchored") + f("unanchored") * 0.3) / f("n_sentences")).alias("evidence"),
-        T.clamp(per("n_logic") * 0.8).alias("logic"),
-        (per("n_filler") * F.when(F.col("r.effective").isin("first_hand", "social"), 0.15).otherwise(0.25)).alias("filler"),
-        T.clamp(per("n_hype") * 1.2 + per("n_urgency") * 1.5 + per("n_certainty") * 0.5 + per("n_exclaims") * 0.4 + f("shouting") * 0.6 + per("n_attack") * 0.9).alias("pressure"),
-        T.clamp(f("n_bias") * 0.07 + f("n_attack") * 0.05 + F.when(f("sponsored"), 0.12).otherwise(0.0)).alias("bias_risk"),
-    ))
-    s = lambda n: F.col(f"s.{n}")
-    df = df.withColumn("s", F.struct("s.*", (s("custody_raw") * (0.65 + 0.35 * F.col("r.confidence"))).alias("custody")))
-    signal = T.clamp(0.25 + s("specificity") * 0.25 + s("evidence") * 0.25 + s("logic") * 0.15 + s("custody") * 0.20 + f("attribution") * 0.05)
-    sure = T.clamp(per("n_certainty") * 1.3 - per("n_hedges") * 0.5 + F.greatest(F.lit(0.0), 0.55 - s("custody")) * 0.4 + F.greatest(F.lit(0.0), 0.40 - s("evidence")) * 0.3)
-    df = df.withColumn("s", F.struct("s.*", signal.alias("signal"), sure.alias("certainty_bias")))
-    df = df.withColumn("s", F.struct("s.*", T.clamp(s("pressure") * 0.48 + s("certainty_bias") * 0.32 + s("bias_risk") * 0.20).alias("manipulation_risk")))
+    """df with features and resolution, with columns __s_*: unrounded scores."""
+    f, s, per = _f, _s, lambda n: _f(n) / _f("n_sentences")
+    known = R.effective_type(F.col("text"), _r("effective"), F.col("source_url"))
+    df = put(df, "s", label_type=known)
+    df = put(
+        df, "s", custody_raw=R.custody_score(s("label_type"), f("n_evidence"), f("n_anonymous"), f("n_quotes"), f("link_bonus")),
+        specificity=T.clamp(per("n_specificity") * 0.9), evidence=T.clamp((f("anchored") + f("unanchored") * 0.3) / f("n_sentences")), logic=T.clamp(per("n_logic") * 0.8),
+        filler=per("n_filler") * F.when(_r("effective").isin("first_hand", "social"), 0.15).otherwise(0.25),
+        pressure=T.clamp(per("n_hype") * 1.2 + per("n_urgency") * 1.5 + per("n_certainty") * 0.5 + per("n_exclaims") * 0.4 + f("shouting") * 0.6 + per("n_attack") * 0.9),
+        bias_risk=T.clamp(f("n_bias") * 0.07 + f("n_attack") * 0.05 + F.when(f("sponsored"), 0.12).otherwise(0.0)),
+    )
+    df = put(df, "s", custody=s("custody_raw") * (0.65 + 0.35 * _r("confidence")))
+    df = put(
+        df, "s", signal=T.clamp(0.25 + s("specificity") * 0.25 + s("evidence") * 0.25 + s("logic") * 0.15 + s("custody") * 0.20 + f("attribution") * 0.05),
+        certainty_bias=T.clamp(per("n_certainty") * 1.3 - per("n_hedges") * 0.5 + F.greatest(F.lit(0.0), 0.55 - s("custody")) * 0.4 + F.greatest(F.lit(0.0), 0.40 - s("evidence")) * 0.3),
+    )
+    df = put(df, "s", manipulation_risk=T.clamp(s("pressure") * 0.48 + s("certainty_bias") * 0.32 + s("bias_risk") * 0.20))
     overall = T.clamp(s("signal") * 0.40 + s("custody") * 0.35 + s("evidence") * 0.15 + f("attribution") * 0.05 - s("manipulation_risk") * 0.30 - s("certainty_bias") * 0.15)
     cap = F.least(F.when((s("pressure") >= 0.65) | (f("n_attack") >= 1), 0.40).otherwise(1.0), F.when(f("n_attack") >= 2, 0.25).otherwise(1.0), F.when(f("n_words") < 50, 0.55).otherwise(1.0))
     noise = T.clamp(0.18 + s("filler") + s("pressure") * 0.32 + (1.0 - s("signal")) * 0.30)
-    df = df.withColumn("s", F.struct("s.*", F.least(overall, cap).alias("overall"), noise.alias("noise"), (s("certainty_bias") - s("evidence")).alias("gap"), (0.10 + (s("manipulation_risk") + s("certainty_bias")) * 0.12).alias("width"), f("coherence").alias("coherence_raw"), T.py_round(f("coherence"), 3).alias("coherence")))
-    return df.withColumn("s", F.struct("s.*", T.clamp(s("overall") - s("width")).alias("low"), T.clamp(s("overall") + s("width") * 0.4).alias("high"), R.custody_warning(s("custody"), F.col("r.confidence")).alias("warning")))
+    df = put(df, "s", overall=F.least(overall, cap), noise=noise, gap=s("certainty_bias") - s("evidence"), width=0.10 + (s("manipulation_risk") + s("certainty_bias")) * 0.12, coherence_raw=f("coherence"), coherence=T.py_round(f("coherence"), 3))
+    return put(df, "s", low=T.clamp(s("overall") - s("width")), high=T.clamp(s("overall") + s("width") * 0.4), warning=R.custody_warning(s("custody"), _r("confidence")))
 
 
 def _chosen(conditions: dict[str, Column]) -> Column:
@@ -152,8 +149,8 @@ def worded(codes: Column, texts: dict[str, str]) -> Column:
 
 
 def decisions(df: DataFrame) -> DataFrame:
-    """df with scores, with a struct column d: codes of flags, verdict, action, codes of questions, triage sentence."""
-    f, s, r = (lambda n: F.col(f"f.{n}")), (lambda n: F.col(f"s.{n}")), (lambda n: F.col(f"r.{n}"))
+    """df with scores, with columns __d_*: codes of flags, verdict, action, codes of questions, triage sentence."""
+    f, s, r = _f, _s, _r
     loose = f("unanchored") > f("anchored")
     incoherent = (s("coherence") < 0.30) & (f("n_words") >= 50)
     tables = f("genre").isin("financial_market_snapshot", "global_macro_market_update")
@@ -179,19 +176,18 @@ def decisions(df: DataFrame) -> DataFrame:
         "emotion": s("pressure") > 0.50, "anchors": loose & (f("n_evidence") > 0), "profit": s("bias_risk") > 0.35, "strip": f("n_attack") > 0,
         "quotes": (f("attribution") < 0.5) & (f("n_quotes") >= 1),
     })
-    df = df.withColumn("d", F.struct(flags.alias("flags"), verdict.alias("verdict"), questions.alias("questions")))
-    action = T.lookup(F.col("d.verdict"), {k: a for k, (a, _) in VERDICTS.items()}, None)
-    df = df.withColumn("d", F.struct("d.*", action.alias("action")))
+    df = put(df, "d", flags=flags, verdict=verdict, questions=questions)
+    df = put(df, "d", action=T.lookup(_d("verdict"), {k: a for k, (a, _) in VERDICTS.items()}, None))
     parts = F.array(
         T.lookup(s("warning"), CUSTODY_PHRASES, None), F.when(f("n_attack") >= 1, "attack wording"), F.when(s("pressure") >= 0.55, "high pressure"),
         F.when(s("certainty_bias") >= 0.55, "high certainty bias"), F.when(loose & (f("unanchored") >= 2), "unanchored evidence terms"),
     )
-    triage = F.concat(F.array_join(parts, " + "), F.lit(". "), T.lookup(F.col("d.action"), IMPERATIVES, ""))
-    return df.withColumn("d", F.struct("d.*", triage.alias("triage")))
+    triage = F.concat(F.array_join(parts, " + "), F.lit(". "), T.lookup(_d("action"), IMPERATIVES, ""))
+    return put(df, "d", triage=triage)
 
 
 def clues(df: DataFrame) -> DataFrame:
-    """df with features, with a struct column c: windows and counts for people to look at."""
+    """df as scored() gives it, with a struct column c: windows and counts for people to look at."""
     text, n = F.col("text"), lambda c: F.col(c).cast("string")
     counted = {"evidence markers": "f.n_evidence", "anonymous or rumor markers": "f.n_anonymous", "long quotes": "f.n_quotes", "institutional links": "f.links.institutional", "academic links": "f.links.academic", "social links": "f.links.social", "other links": "f.links.web"}
     lines = F.filter(F.array(*(F.when(F.col(c) > 0, F.concat(F.lit(f"{k}: "), n(c))) for k, c in counted.items())), lambda x: x.isNotNull())

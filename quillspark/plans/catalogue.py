@@ -38,7 +38,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return C.table(spark, d, "documents").select("doc_id", "text")
+    return C.spread(C.table(spark, d, "documents").select("doc_id", "text"))
 
 
 def orders(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +94,7 @@ def q_compress(spark, d):
 
 @query(f"WITH t AS (SELECT doc_id, {O.WORDS.format(O.normalized())} AS tokens, {O.sentences()} AS sents FROM documents WHERE lang = 'en') SELECT doc_id, {O.coherence('tokens', 'sents')} AS coherence FROM t")
 def q_coherence(spark, d):
-    rows = C.table(spark, d, "documents").where("lang = 'en'").select("doc_id", T.words(T.normalize(F.col("text"))).alias("w"), T.sentences(F.col("text")).alias("s"))
+    rows = C.spread(C.table(spark, d, "documents").where("lang = 'en'")).select("doc_id", T.words(T.normalize(F.col("text"))).alias("w"), T.sentences(F.col("text")).alias("s"))
     return rows.select("doc_id", T.coherence(F.col("w"), F.col("s")).alias("coherence"))
 
 
@@ -348,7 +348,7 @@ def q_html_text(spark, d):
 
 @query()
 def q_pages_triage(spark, d):
-    rows = analyze(P.page_documents(C.table(spark, d, "pages")), with_brief=False)
+    rows = analyze(P.page_documents(C.spread(C.table(spark, d, "pages"))), with_brief=False)
     return rows.select("page_id", "assessment.source_name", "assessment.source_genre", "assessment.recommended_action", "assessment.scores.overall_confidence")
 
 
@@ -412,7 +412,7 @@ def q_flag_counts(spark, d):
 
 @query()
 def q_label_agreement(spark, d):
-    rows = scored(C.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "d.action")
+    rows = scored(documents(spark, d)).select("doc_id", "d.action")
     return rows.join(C.table(spark, d, "labels"), "doc_id").groupBy("action", "quality", "toxic").agg(F.count("*").alias("n"))
 
 

@@ -46,6 +46,12 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index % len(values) + 1).cast("int"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where a table is in fewer files than there are cores: scoring costs far more than the shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,7 +61,7 @@ def orders_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     parts = [F.concat(_pick(PHRASES, k * m + o), F.lit(sep)) for m, o, sep in PICKS]
     tail = F.concat(F.lit(" On "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" the sum was $"), F.floor("o_totalprice").cast("string"), F.lit(" for 3 percent."))
-    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.concat(*parts, tail).alias("text"), _pick(TYPES, k).alias("source_type"), _pick(URLS, F.floor(k / 3)).alias("source_url"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")).select(k.alias("doc_id"), F.concat(*parts, tail).alias("text"), _pick(TYPES, k).alias("source_type"), _pick(URLS, F.floor(k / 3)).alias("source_url"))
 
 
 def parts_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +73,7 @@ def parts_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Stocks fell early on the NASDAQ and NYSE. Acme Metals ("), ticker(1), F.lit(") at $"), price, F.lit(".50 (+"), (k % 30).cast("string"), F.lit(".5%) led. "),
         ticker(7), F.lit(" at C$ "), price, F.lit(" -"), (k % 9).cast("string"), F.lit(".2% on volume.\n"), ticker(1), F.lit(" again $1.10 +2.0%\nThe OTC at $3.00 +1.0% is no ticker.\nS&P 500: +0."), (k % 10).cast("string"), F.lit("2% at close.\n"), _pick(PHRASES, k * 3),
     )
-    return table(spark, sf_dir, "part").select(k.alias("doc_id"), text.alias("text"), _pick(TYPES, k).alias("source_type"), F.lit("").alias("source_url"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")).select(k.alias("doc_id"), text.alias("text"), _pick(TYPES, k).alias("source_type"), F.lit("").alias("source_url"))
 
 
 def events_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,14 @@ from quillspark.operators import scoring as S
 from quillspark.operators.briefs import brief, brief_by_genre
 
 
+WORKING = ("__f_", "__r_", "__s_", "__d_")
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """docs with the struct columns f, r, s and d: features, resolution, unrounded scores, decisions."""
-    return S.decisions(S.scores(S.resolved(S.features(S.document(docs)))))
+    rows = S.decisions(S.scores(S.resolved(S.features(S.document(docs)))))
+    flat = [c for c in rows.columns if c[:4] in WORKING]
+    return rows.withColumns({k[2]: F.struct(*(F.col(c).alias(c[4:]) for c in flat if c.startswith(k))) for k in WORKING}).drop(*flat)
 
 
 def score_struct() -> Column:
