@@ -14,7 +14,8 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CODECS: dict = {}
+from quillspark.llm.common import worker_state
+
 _SIDE_BY_SIDE = 256
 
 
@@ -51,9 +52,7 @@ class ByteBPE:
     @classmethod
     def of(cls, path: str, pattern: str) -> ByteBPE:
         """One for each Python worker, kept between tasks."""
-        if (path, pattern) not in _CODECS:
-            _CODECS[path, pattern] = cls(path, pattern)
-        return _CODECS[path, pattern]
+        return worker_state(("bytes", path, pattern), lambda: cls(path, pattern))
 
     def _rank(self, left, right, none):
         """Ranks of pairs of ids; none where there is no such merge or an id is missing (negative)."""

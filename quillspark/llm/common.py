@@ -33,6 +33,33 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+_STATE: dict = {}
+
+
+def worker_state(key, make):
+    """What a Python worker keeps between tasks: of one operator at a time, so that idle caches don't add up."""
+    if key not in _STATE:
+        _STATE.clear()
+        trim()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; a worker that waits for its next task holds none of the last one's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Stored:
     """df as a Parquet table in the shared folder (column by column and compressed, unlike a checkpoint).
 

@@ -9,8 +9,8 @@ probability of their weighted Jaccard similarity. Where a coordinate has no dart
 
 Documents of equal multisets are folded into one. The rest meet in bands of signature entries. Members of
 a bucket are checked against one leader on their exact multisets, then those that no link has joined yet
-against another leader, and in the end all pairs of a bucket that are still in different classes, so that
-no link between different texts is lost and large groups of copies are not expanded into pairs.
+against another leader. What is still apart is joined exactly on each document's rarest items, so that no
+link between different texts is lost, and neither copies nor common passages are expanded into pairs.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Stored, cut
+from quillspark.llm.common import Stored, cut, trim, worker_state
 from quillspark.llm.components import components
 
 _NOT_WORD = re.compile(r"\W+")
@@ -212,7 +212,7 @@ def _sign(width: int, bands: int, rows: int):
         import numpy as np
         import pyarrow as pa
 
-        shingler, darts = Shingler(width), DartMinHash(bands * rows)
+        shingler, darts = worker_state(("shingles", width, bands, rows), lambda: (Shingler(width), DartMinHash(bands * rows)))
         for ids, texts in _steps(batches):
             doc, item, weight = shingler(texts)
             n = len(ids)
@@ -230,6 +230,7 @@ def _sign(width: int, bands: int, rows: int):
             offsets = np.arange(n + 1, dtype=np.int32) * bands
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(h, mask=blank) for h in names), lists], names=["id", "h1", "h2", "keys"])
+        trim()
 
     return run
 
@@ -241,7 +242,7 @@ def _items(width: int):
         import numpy as np
         import pyarrow as pa
 
-        shingler = Shingler(width)
+        shingler = worker_state(("shingler", width), lambda: Shingler(width))
         for ids, texts in _steps(batches):
             doc, item, weight = shingler(texts)
             nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
@@ -249,6 +250,7 @@ def _items(width: int):
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum(np.bincount(doc.astype(np.int64), weight, len(ids)).astype(np.int32), out=offsets[1:])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed))], names=["id", "items"])
+        trim()
 
     return run
 
@@ -262,7 +264,28 @@ def _linked(pairs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared >= union * F.lit(similarity)).select("a", "b")
 
 
-def near_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, rounds: int = 4) -> DataFrame:
+def _sharing_prefix(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of documents (rep, root) of different roots, among them all that are at least so similar.
+
+    Items are ordered from the rarest. A pair as similar as asked shares at least
+    need = similarity / (1 + similarity) of both sizes' sum, so behind its first shared item each side has that
+    many left: that item is among the first n - 2 need n + 1 of the smaller document and among the first
+    n - similarity n + 1 of the larger one. A passage in many documents thus makes no pairs by itself.
+    """
+    part, slack = similarity / (1 + similarity), 1e-9
+    spread = items.join(docs, F.col("id") == F.col("rep")).withColumn("items", F.array_distinct("items")).select("rep", "root", F.size("items").alias("n"), F.explode("items").alias("x"))
+    often = spread.groupBy("x").agg(F.count("*").alias("f"))
+    rarest = Window.partitionBy("rep").orderBy("f", "x")
+    left = F.col("n") - F.row_number().over(rarest) + 1
+    prefix = spread.join(often, "x").withColumn("left", left).where(F.col("left") >= F.col("n") * similarity - slack)
+    prefix = cut(prefix.where("f > 1").select("x", "rep", "root", "n", "left"))
+    small = prefix.where(F.col("left") >= 2 * part * F.col("n") - slack).alias("s")
+    need = part * (F.col("s.n") + F.col("l.n")) - slack
+    fits = (F.col("s.x") == F.col("l.x")) & (F.col("s.root") != F.col("l.root")) & (F.col("s.n") <= F.col("l.n")) & (F.col("s.n") >= F.col("l.n") * similarity - slack) & (F.least("s.left", "l.left") >= need)
+    return small.join(prefix.alias("l"), fits).select(F.least("s.rep", "l.rep").alias("a"), F.greatest("s.rep", "l.rep").alias("b")).distinct()
+
+
+def near_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, rounds: int = 2) -> DataFrame:
     """One row for each row: doc_id, class_id, n_exact, kept.
 
     Documents whose weighted Jaccard similarity of shingles is at least similarity are linked; class_id is
@@ -290,16 +313,11 @@ def near_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         apart = now.join(open_keys.where("least < most AND n > 2").select("key", "lead"), "key")
         if again < rounds:
             pairs = apart.where("root <> lead.root").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
+            pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         else:
-            one, two = apart.select("key", F.col("rep").alias("a"), F.col("root").alias("ra")), apart.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"))
-            pairs = one.join(two, "key").where("a < b AND ra <> rb").select("a", "b")
-        pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        tested, more = tested.unionByName(pairs), cut(_linked(pairs, items.df, similarity))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links)
+            pairs = cut(_sharing_prefix(apart.select("rep", "root").distinct(), items.df, similarity))
+        more = cut(_linked(pairs, items.df, similarity))
+        links, roots = links.unionByName(more), components(links.unionByName(more))
     items.drop()
     named = folded.df.select("h1", "h2", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), F.col("n").alias("n_exact"))
     return (

@@ -7,11 +7,12 @@ import re
 import unicodedata
 from itertools import chain
 
+from quillspark.llm.common import worker_state
+
 #: Control characters that Python's split() takes for white space and the tokenizer does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Marks that end a pre-token when they follow a letter.
 _MARKS = ".,!?;:*#$%&"
-_ENCODERS: dict = {}
 
 
 class _Recent:
@@ -59,9 +60,7 @@ class WordEncoder:
     @classmethod
     def of(cls, path: str) -> WordEncoder:
         """One for each Python worker, kept between tasks."""
-        if path not in _ENCODERS:
-            _ENCODERS[path] = cls(path)
-        return _ENCODERS[path]
+        return worker_state(("words", path), lambda: cls(path))
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         import numpy as np
