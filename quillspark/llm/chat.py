@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut
+from quillspark.llm.common import Stored, cut
 
 _TURN = re.compile(r"<turn ((?:[^\\>]+|\\.)*+)>\n((?:[^\\<]+|\\.|<(?!turn |/turn>))*+)</turn>\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
@@ -81,7 +81,7 @@ def format_trees(nodes: DataFrame, *, branches: int = 1, answers: str = "assista
         up = level.where("up IS NOT NULL").select("tree", "node", "up")
         path = path.unionByName(path.join(up, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("above") + 2**k).alias("above")))
         if k % 3 == 2:
-            path = cut(path)
+            path = Stored(path, "paths").df
     head = F.concat(F.lit("<turn "), F.replace(escape(F.col("role")), F.lit(">"), F.lit("\\>")), F.lit(">\n"))
     turns = path.join(rows.select("tree", "tree_id", "node", "role", "text"), ["tree", "node"])  # a parent that isn't there has no row
     turns = turns.withColumns({"head": head, "body": escape(F.col("text"))}).withColumn("piece", F.concat("head", "body", F.lit("</turn>\n")))
