@@ -15,10 +15,15 @@ WORKING = ("__f_", "__r_", "__s_", "__d_")
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """docs with the struct columns f, r, s and d: features, resolution, unrounded scores, decisions."""
+    """docs with the struct columns f, r, s and d: features, resolution, unrounded scores, decisions.
+
+    The structs hang on a condition that is no constant to the optimizer: else a filter on one of their
+    fields would be pushed down with the whole tree of expressions in its place.
+    """
     rows = S.decisions(S.scores(S.resolved(S.features(S.document(docs)))))
     flat = [c for c in rows.columns if c[:4] in WORKING]
-    return rows.withColumns({k[2]: F.struct(*(F.col(c).alias(c[4:]) for c in flat if c.startswith(k))) for k in WORKING}).drop(*flat)
+    here = F.spark_partition_id() >= 0
+    return rows.withColumns({k[2]: F.when(here, F.struct(*(F.col(c).alias(c[4:]) for c in flat if c.startswith(k)))) for k in WORKING}).drop(*flat)
 
 
 def score_struct() -> Column:
