@@ -308,10 +308,10 @@ def q_compare(spark, d):
     return rows.select("group_id", F.to_json("conflicts").alias("conflicts"), F.to_json("alignment").alias("alignment"), "crude_note", joined("follow_up_sources").alias("follow_ups"))
 
 
-@query(O.claims() + ", k AS (SELECT group_id, entity_key, count(*) AS n, min(numeric_value) AS low, max(numeric_value) AS high, bool_and(abs(numeric_value) < 20) AS small FROM claims GROUP BY ALL) SELECT strptime(group_id, '%Y-%m-%d') AS window_start, entity_key, n, low, high, n > 1 AND CASE WHEN small THEN high - low > 0.15e0 ELSE high - low > CASE WHEN low <> 0 THEN abs(low) ELSE 1e0 END * 0.02e0 END AS conflict FROM k")
+@query(O.claims() + ", k AS (SELECT group_id, entity_key, count(*) AS n, min(numeric_value) AS low, max(numeric_value) AS high, bool_and(abs(numeric_value) < 20) AS small FROM claims GROUP BY ALL) SELECT group_id AS window_start, entity_key, n, low, high, n > 1 AND CASE WHEN small THEN high - low > 0.15e0 ELSE high - low > CASE WHEN low <> 0 THEN abs(low) ELSE 1e0 END * 0.02e0 END AS conflict FROM k")
 def q_daily_conflicts(spark, d):
     rows = C.events_corpus(spark, d).withColumn("ts", F.to_timestamp("group_id"))
-    return spread_by_window(rows)
+    return spread_by_window(rows).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
 # pages

@@ -122,3 +122,25 @@ def test_streams(spark, tmp_path):
     assert spark.table("triaged").count() == 2
     rows = spark.createDataFrame([("Gold: 10.0", "2024-01-01 10:00:00"), ("Gold: 10.5", "2024-01-01 11:00:00")], "text string, ts string").withColumn("ts", F.to_timestamp("ts"))
     assert spread_by_window(rows).first().conflict
+
+
+def test_command_line(spark, capsys, tmp_path):
+    from quillspark.__main__ import main
+
+    main(["--text", DOCS[0][2], "--type", "social", "--json"])
+    assert json.loads(capsys.readouterr().out)["source_type"] == "social"
+    (tmp_path / "a.txt").write_bytes("Plain text, \xff and more.".encode("latin-1"))
+    main(["--file", str(tmp_path / "a.txt")])
+    assert "TRIAGE REPORT" in capsys.readouterr().out
+    main(["--demo"])
+    assert capsys.readouterr().out.count("TRIAGE REPORT") == len(readers.EXAMPLES)
+    main(["--schema"])
+    assert json.loads(capsys.readouterr().out)["type"] == "struct"
+    with pytest.raises(SystemExit):
+        main(["--text", "  "])
+
+
+def test_json_requests(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"text": "Hello there.", "source_type": "primary"}\nnot json\n')
+    rows = readers.validate(readers.requests(spark, str(tmp_path / "r.json"))).collect()
+    assert sorted(r.status for r in rows) == ["bad_request", "ok"]
