@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,21 +20,24 @@ def _state(edges: DataFrame) -> tuple:
     return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rows_per_task: int = 20_000) -> DataFrame:
     """(node, root) for every node of edges: root is the least node that links reach.
 
     Loops, repeated edges and either direction are allowed; null ends are dropped; no edges give no rows.
     Both steps work on minima that combine before the shuffle, so a hub is never gathered in one task; each
-    round is cut, and rounds grow as the logarithm of the longest path.
+    round is cut, and rounds grow as the logarithm of the longest path. Edges are few next to the texts that
+    made them, so tasks are merged until each has rows_per_task of them.
     """
     x, y = F.col(a).cast("bigint"), F.col(b).cast("bigint")
     now = cut(edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where(F.col("u") > F.col("v")).distinct())
     state = _state(now)
     while state[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        tasks = math.ceil(state[0] / rows_per_task)
+        few = now.coalesce(tasks)
+        both = few.unionByName(few.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").coalesce(tasks).distinct()
         small = _star(large)
-        now = cut(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct())
+        now = cut(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").coalesce(tasks).distinct().coalesce(tasks))
         before, state = state, _state(now)
         if state == before:
             break

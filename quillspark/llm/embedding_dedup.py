@@ -198,6 +198,7 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     paired = paired.select("t", "code", "dim", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "rep", "n", (F.col("mine") > F.col("other")).cast("int").alias("side"), "x", "codes")
     keys = ["t", "code", "dim", "lo", "hi"]
     found = cut(paired.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_check(similarity), "node bigint, links bigint, root bigint"))
+    hashed.drop()
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     per_rep = folded.df.select("k1", "k2", "rep", "n").join(links, F.col("rep") == links["node"], "left").drop("node").join(roots, F.col("rep") == roots["node"], "left")

@@ -8,9 +8,9 @@ signature keeps each coordinate's dart of least rank. Two documents agree in a c
 probability of their weighted Jaccard similarity. Where a coordinate has no dart, the rank doubles.
 
 Documents of equal multisets are folded into one. The rest meet in bands of signature entries. Members of
-a bucket are checked against one leader on their exact multisets, then those that no link has joined yet
-against another leader. What is still apart is joined exactly on each document's rarest items, so that no
-link between different texts is lost, and neither copies nor common passages are expanded into pairs.
+a bucket are checked against one leader on their exact multisets, and those that this leaves apart against
+another. What no link has joined with its bucket by then is joined exactly on each document's rarest items, so that no link between different texts is lost, and
+neither copies nor common passages are expanded into pairs.
 """
 
 from __future__ import annotations
@@ -285,7 +285,7 @@ def _sharing_prefix(docs: DataFrame, items: DataFrame, similarity: float) -> Dat
     return small.join(prefix.alias("l"), fits).select(F.least("s.rep", "l.rep").alias("a"), F.greatest("s.rep", "l.rep").alias("b")).distinct()
 
 
-def near_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, rounds: int = 2) -> DataFrame:
+def near_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, leaders: int = 2) -> DataFrame:
     """One row for each row: doc_id, class_id, n_exact, kept.
 
     Documents whose weighted Jaccard similarity of shingles is at least similarity are linked; class_id is
@@ -304,22 +304,24 @@ def near_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     members = Stored(met.join(buckets.select("key", "leader"), "key"), "buckets")
     wanted = members.df.select(F.col("rep").alias("id")).distinct()
     items = Stored(rows_in.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_items(width), "id bigint, items array<int>"), "shingles")
-    tested = cut(members.df.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
+    tested = members.df.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut(_linked(tested, items.df, similarity))
-    roots = components(links)
-    for again in range(1, rounds + 1):
-        now = members.df.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        open_keys = now.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"), F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(again))).alias("lead"))
-        apart = now.join(open_keys.where("least < most AND n > 2").select("key", "lead"), "key")
-        if again < rounds:
-            pairs = apart.where("root <> lead.root").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
-            pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+    for again in range(leaders):
+        roots = components(links).withColumnRenamed("node", "rep")
+        now = members.df.select("key", "rep").join(roots, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+        lead = F.min_by(F.struct("rep", "root"), F.xxhash64("rep", F.lit(again))).alias("lead")
+        mixed = now.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"), lead).where("least < most AND n > 2")
+        apart = now.join(mixed.select("key", "lead"), "key")
+        if again + 1 < leaders:
+            pairs = apart.where("root <> lead.root").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         else:
-            pairs = cut(_sharing_prefix(apart.select("rep", "root").distinct(), items.df, similarity))
-        more = cut(_linked(pairs, items.df, similarity))
-        links, roots = links.unionByName(more), components(links.unionByName(more))
+            pairs = _sharing_prefix(apart.select("rep", "root").distinct(), items.df, similarity)
+        links = links.unionByName(cut(_linked(pairs, items.df, similarity)))
+    roots = components(links).withColumnRenamed("node", "rep")
     items.drop()
-    named = folded.df.select("h1", "h2", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), F.col("n").alias("n_exact"))
+    members.drop()
+    named = folded.df.select("h1", "h2", "rep", "n").join(roots, "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), F.col("n").alias("n_exact"))
     return (
         signed.df.select("id", "h1", "h2")
         .join(named, ["h1", "h2"], "left")
