@@ -15,6 +15,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import trim
+
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, padded_length bigint"
 
 
@@ -99,7 +101,7 @@ def _pack_shard(docs: list[tuple], capacity: int, first: int) -> tuple[dict[str,
     return out, first
 
 
-def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, capacity: int = 2048, shard_docs: int = 16384, shard_tokens: int = 1 << 22) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, capacity: int = 2048, shard_docs: int = 16384, shard_tokens: int = 1 << 21) -> DataFrame:
     """One row for each piece of a document: its ids (little-endian unsigned 32-bit), its sequence and place there.
 
     A document's ids are those of its text and end_id, so an empty or null text gives one id. A shard ends
@@ -117,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
 
         from quillspark.llm.word_tokens import WordEncoder
 
-        encoder, schema = WordEncoder.of(tokenizer), pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded_length")])
+        encoder, schema = WordEncoder.of(tokenizer, chunks=1 << 19), pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded_length")])
         first, shard, held = TaskContext.get().partitionId() << 32, [], 0
 
         def rows(columns):
@@ -135,8 +137,12 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
                         columns, first = _pack_shard(shard, capacity, first)
                         shard, held = [], 0
                         yield from rows(columns)
+                        columns = None
         if shard:
             columns, first = _pack_shard(shard, capacity, first)
+            shard = None
             yield from rows(columns)
+        columns = None
+        trim()
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)

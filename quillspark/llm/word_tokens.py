@@ -47,7 +47,7 @@ class WordEncoder:
     time. Texts with characters on whose class Python and the tokenizer disagree are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 1 << 20):
+    def __init__(self, path: str, limit: int = 1 << 20, chunks: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,12 +55,12 @@ class WordEncoder:
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         normalizer = self.tokenizer.normalizer
         self.lower = normalizer is not None and normalizer.normalize_str("QÀ q") == "qà q"
-        self.chunks, self.words = _Recent(limit), _Recent(limit)
+        self.chunks, self.words = _Recent(chunks), _Recent(limit)
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
+    def of(cls, path: str, chunks: int = 1 << 20) -> WordEncoder:
         """One for each Python worker, kept between tasks."""
-        return worker_state(("words", path), lambda: cls(path))
+        return worker_state(("words", path, chunks), lambda: cls(path, chunks=chunks))
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         import numpy as np
