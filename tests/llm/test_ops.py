@@ -321,6 +321,48 @@ def test_model_sums_to_one(spark):
         assert abs(np.exp(low[b << 7 : (b + 1) << 7]).sum() - 1) < 1e-6 or not any(c >> 7 & 127 == b for c in seen)
 
 
+def test_character_model(spark):
+    from quillspark.llm.quality import END, ORDER, POINTS, START, ngrams, probabilities
+
+    texts = ["the river and the stone", "a garden of stones and letters", "\U00010400\U00010401\U00010402 \U00010400\U00010401", "a garden of stones and letters", "", None, "\0\0"]
+    levels = ngrams(spark.createDataFrame([(t,) for t in texts], "text string"))
+    padded = [START * (ORDER - 1) + t + END for t in texts if t]
+    counts = {ORDER: collections.Counter(t[i : i + ORDER] for t in padded for i in range(len(t) - ORDER + 1))}
+    for k in range(ORDER - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    assert all({r.gram: r.n for r in levels[k].df.collect()} == counts[k] for k in counts)
+    letters = sorted({t for g in counts[1] for t in g}) + ["\U0001f600"]
+    contexts = sorted({g[:-1] for g in counts[ORDER]})[::7] + ["zzzz", "\U00010401\U00010402 \U00010400"]
+    asked = spark.createDataFrame([(c + x,) for c in contexts for x in letters], "gram string")
+    rows = probabilities(asked, levels).collect()
+    for part in ("p", "alone"):
+        got = {r.gram: r[part] for r in rows}
+        sums = [sum(got[c + x] for x in letters[:-1]) + (POINTS - len(letters) + 1) * got[c + letters[-1]] for c in contexts]
+        assert all(abs(x - 1) < 1e-6 if part == "p" else x <= 1 + 1e-6 for x in sums)
+    by = {r.gram: r for r in rows}
+    # what has one text alone says nothing of that text
+    only = "\U00010401\U00010402 \U00010400\U00010401"
+    assert by[only].p > 0.1 > 20 * by[only].alone
+
+
+def test_quality_folds_no_letters(spark):
+    """Letters beyond the basic plane, and repeated words."""
+    from quillspark.llm.quality import classify
+
+    random.seed(16)
+    deseret = ["".join(chr(0x10400 + random.randrange(40)) for _ in range(6)) for _ in range(12)]
+    latin = ["river", "stone", "bread", "winter", "garden", "letter", "paper", "window", "little", "yellow"]
+    said = lambda words: " ".join(random.choice(words) for _ in range(60))
+    other = lambda t: "".join(x if x == " " else chr(0x10400 + random.randrange(40)) for x in t)
+    rows = [(i, said(deseret), "xx") for i in range(100)] + [(200 + i, other(said(deseret)), "xx") for i in range(20)] + [(300 + i, said(latin), "en") for i in range(100)]
+    rows += [(500 + i, "stonestone" * 40, "en") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in (*range(80), *range(300, 380))], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in classify(docs, labels).collect()}
+    assert all(kept[i] for i in (*range(100), *range(300, 400)))
+    assert not any(kept[i] for i in (*range(200, 220), *range(500, 505)))
+
+
 # 9
 
 
