@@ -363,6 +363,28 @@ def test_quality_folds_no_letters(spark):
     assert not any(kept[i] for i in (*range(200, 220), *range(500, 505)))
 
 
+def test_quality_threshold_is_a_quantile(spark):
+    """With enough trusted texts, the quantile of the language and length class decides, and short junk goes."""
+    from quillspark.llm.quality import classify
+
+    random.seed(26)
+    words = ["river", "stone", "bread", "winter", "garden", "letter", "paper", "window", "little", "yellow"]
+    said = lambda n: " ".join(random.choice(words) for _ in range(n))
+    rows = [(i, said(60), "en") for i in range(400)] + [(1000 + i, said(5), "en") for i in range(400)] + [(2000 + i, "#QZ%0 X@3$ 9&", "en") for i in range(5)] + [(3000, said(5), "fr"), (3001, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in (*range(400), *range(1000, 1400))], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in classify(docs, labels).collect()}
+    for ids in (range(400), range(1000, 1400)):
+        by = collections.defaultdict(list)
+        for i in ids:
+            by[got[i].threshold].append(got[i])
+        assert all(len(x) >= 300 for x in by.values())
+        for some in by.values():
+            top = sorted(r.log_perplexity for r in some)[math.ceil(0.99 * len(some)) - 1]
+            assert all(abs(r.threshold - top) < 0.0025 for r in some) and sum(not r.kept for r in some) <= 0.01 * len(some)
+    assert not any(got[2000 + i].kept for i in range(5)) and got[3001].kept
+
+
 # 9
 
 
