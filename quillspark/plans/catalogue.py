@@ -98,6 +98,13 @@ def q_coherence(spark, d):
     return rows.select("doc_id", T.coherence(F.col("w"), F.col("s")).alias("coherence"))
 
 
+@query()
+def q_coherence_all(spark, d):
+    """As q_coherence, for documents of every language."""
+    rows = documents(spark, d).select("doc_id", T.words(T.normalize(F.col("text"))).alias("w"), T.sentences(F.col("text")).alias("s"))
+    return rows.select("doc_id", T.coherence(F.col("w"), F.col("s")).alias("coherence"))
+
+
 @query(f"WITH c AS ({O.ORDERS}) SELECT doc_id, w.i AS pos, w.x AS around FROM (SELECT doc_id, unnest(list_transform({O.windows('evidence', 60)}, lambda x, i: {{'i': i, 'x': {O.normalized('x')}}})) AS w FROM c)")
 def q_match_windows(spark, d):
     t = F.col("text")

@@ -1,5 +1,6 @@
 """Documents of known shape and what their assessment must say; comparisons; pages; streams."""
 
+import re
 import json
 
 import pytest
@@ -144,3 +145,23 @@ def test_json_requests(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"text": "Hello there.", "source_type": "primary"}\nnot json\n')
     rows = readers.validate(readers.requests(spark, str(tmp_path / "r.json"))).collect()
     assert sorted(r.status for r in rows) == ["bad_request", "ok"]
+
+
+def test_coherence_of_every_language(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = {1: "Le café était là. Les élèves étaient là hier soir encore. Oui.", 2: "Der Hund war da. Die Katze schlief. Über Nacht kam Regen because es kalt war.", 3: "été été été été été été été été été été été."}
+    langs = {1: "fr", 2: "de", 3: None}
+    spark.createDataFrame([(i, t, langs[i]) for i, t in texts.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.coherence for r in entry.queries()["q_coherence_all"](spark, str(tmp_path)).collect()}
+
+    def brute(t, connectives):
+        words, sents = re.findall(r"\w+", t.lower()), [x for x in re.split(r"(?<=[.!?])\s+", t) if x]
+        sizes = [len(x.split()) for x in sents]
+        mean = sum(sizes) / len(sizes)
+        spread = min((sum((x - mean) ** 2 for x in sizes) / len(sizes)) ** 0.5 / max(mean, 1) / 0.5, 1) if len(sizes) >= 3 else 0.5
+        return 0.45 * min(connectives / len(sents) / 0.25, 1) + 0.40 * min(max((len(set(words)) / len(words) - 0.25) / 0.40, 0), 1) + 0.15 * spread
+
+    assert set(got) == set(texts)
+    for i, n in ((1, 0), (2, 1), (3, 0)):
+        assert abs(got[i] - brute(texts[i], n)) < 1e-9
