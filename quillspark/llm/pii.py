@@ -1,7 +1,7 @@
 """Personal data in texts by weak supervision, with native columns only.
 
-Patterns find the base spans. Beside them, looser forms are candidates. Labelers (patterns, gazetteers,
-contexts) vote on every span: 1 for personal data, -1 against, 0 for no say. Expectation-maximisation over
+Patterns find the base spans. Beside them, looser forms are candidates. Labelers (patterns and
+contexts, no gazetteers) vote on every span: 1 for personal data, -1 against, 0 for no say. Expectation-maximisation over
 the counts of vote combinations estimates how reliable each labeler is, without labels, and the posteriors
 train a logistic classifier of spans; what the labelers saw is all that it sees, so it needs no more than
 those counts, whose number is bounded by the kinds and labelers and not by the texts. Candidates that the
