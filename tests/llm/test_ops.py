@@ -184,6 +184,14 @@ def test_spans(spark, which, empty):
     assert find(empty).count() == 0
 
 
+def test_accounts_of_any_length(spark):
+    from quillspark.llm.pii import LOOSE
+
+    whole = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "NL91ABNA0417164300", "DE89 3704 0044 0532 0130 00"]
+    rows = spark.createDataFrame([(x, f"to {x}.") for x in whole], "x string, t string")
+    assert all(r.m == [r.x] for r in rows.select("x", F.regexp_extract_all("t", F.lit(LOOSE["account"]), F.lit(0)).alias("m")).collect())
+
+
 def test_window_entropy(spark):
     from quillspark.llm.secrets import window_entropy
 
