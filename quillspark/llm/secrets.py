@@ -25,8 +25,9 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Character classes from the narrowest, with the entropy in bits that a random window of 20 exceeds.
 CLASSES = (("hex", r"^[0-9a-fA-F]+$", 3.0), ("alphanumeric", r"^[A-Za-z0-9]+$", 3.6), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.8))
-#: Forms that are no secrets however mixed: no digit or no letter, UUIDs, slugs of words and short numbers.
-ALLOWED = (r"^[^0-9]+$", r"^[^A-Za-z]+$", r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^(?:[A-Za-z]{1,24}|[0-9]{1,8})(?:[-_/=](?:[A-Za-z]{1,24}|[0-9]{1,8}))+$")
+_WORD = r"(?:[A-Z]{1,24}|[A-Z]?[a-z]{1,24})"
+#: Forms that are no secrets however mixed: one case or a capital first, no letter, UUIDs, slugs of such words and short numbers.
+ALLOWED = (r"^[+/_=-]*(?:[A-Z]+|[A-Z]?[a-z]+)[+/_=-]*$", r"^[^A-Za-z]+$", r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", rf"^[+/_=-]*(?:{_WORD}|[0-9]{{1,8}})(?:[+/_=-]+(?:{_WORD}|[0-9]{{1,8}}))+[+/_=-]*$")
 
 
 def window_entropy(candidate: Column, window: int = 20) -> Column:

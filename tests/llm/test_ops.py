@@ -192,6 +192,15 @@ def test_accounts_of_any_length(spark):
     assert all(r.m == [r.x] for r in rows.select("x", F.regexp_extract_all("t", F.lit(LOOSE["account"]), F.lit(0)).alias("m")).collect())
 
 
+def test_secrets_of_letters(spark):
+    from quillspark.llm.secrets import find_secrets
+
+    secret, plain = ["qWzXeRtYvBnMaSdFgHjKlP", "aB/cDeFgHi+JkLmNoPqRsTuVw"], ["internationalization/settings", "INTERNATIONALIZATIONS", "Some-Long-Slug-Of-Words-Here"]
+    rows = spark.createDataFrame(list(enumerate(secret + plain)), "doc_id long, text string")
+    got = {r.doc_id: len(r.spans) for r in find_secrets(rows).collect()}
+    assert got == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0}
+
+
 def test_window_entropy(spark):
     from quillspark.llm.secrets import window_entropy
 
