@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own only where none is set (tests)."""
+    """The folder named by spark.checkpoint.dir or set as the context's checkpoint folder.
+
+    Where neither is set, a temporary one of our own on a local master (tests), else an error: other machines
+    would not see it.
+    """
     sc = spark.sparkContext
     set_dir = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not set_dir and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="quillspark-"))
         current = sc._jsc.sc().getCheckpointDir()
     return set_dir or current.get()
@@ -60,6 +67,35 @@ def trim() -> None:
         pass
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class ArrowFolder:
+    """A folder whose files tasks write and read with pyarrow; its uri names a file system that pyarrow can open."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        from pyarrow.fs import FileSystem
+
+        self.spark, self.path = spark, path
+        made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.uri = system.makeQualified(made).toString()
+        try:
+            FileSystem.from_uri(self.uri)
+        except Exception as e:
+            raise ValueError(f"{self.uri}: pyarrow can't open this file system; let spark.checkpoint.dir name another one") from e
+        system.mkdirs(made)
+
+    def drop(self) -> None:
+        _remove(self.spark, self.path)
+
+
+def arrow_folder(spark: SparkSession, what: str) -> ArrowFolder:
+    return ArrowFolder(spark, fresh_path(spark, what))
+
+
 class Stored:
     """df as a Parquet table in the shared folder (column by column and compressed, unlike a checkpoint).
 
@@ -73,6 +109,4 @@ class Stored:
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(self.spark, self.path)

@@ -304,7 +304,7 @@ def test_components(spark):
 
 
 def test_quality(spark, empty):
-    from quillspark.llm.quality import classify, trigrams
+    from quillspark.llm.quality import classify
 
     random.seed(6)
     words = ["river", "stone", "bread", "winter", "garden", "letter", "paper", "window", "little", "yellow"]
@@ -321,45 +321,88 @@ def test_quality(spark, empty):
     assert not any(got[500 + i][0].kept for i in range(20)) and not got[904][0].kept
     assert all(r.kept for r in classify(docs, labels.where("false")).collect())
     assert classify(empty, labels).count() == 0
-    key, n = trigrams(["", "ab", "aaaa"], np.arange(65536).astype(np.uint32) % 128)
-    assert n.sum() == 3 + 5 and set((key >> 21).tolist()) == {1, 2}
-
-
-def test_model_sums_to_one(spark):
-    from quillspark.llm.quality import SYMBOLS, train
-
-    rows = train(spark.createDataFrame([("the river and the stone",), ("a garden of stones and letters",)], "text string")).collect()
-    low, weight = np.array(rows[0].low), np.array(rows[0].weight)
-    seen = {c: p for r in rows for c, p in zip(r.code, r.logp)}
-    for pair in {c >> 7 for c in seen}:
-        total = sum(math.exp(seen.get(pair << 7 | s, weight[pair] + low[((pair & 127) << 7) | s])) for s in range(SYMBOLS))
-        assert abs(total - 1) < 1e-6
-    for b in range(SYMBOLS):
-        assert abs(np.exp(low[b << 7 : (b + 1) << 7]).sum() - 1) < 1e-6 or not any(c >> 7 & 127 == b for c in seen)
 
 
-def test_character_model(spark):
-    from quillspark.llm.quality import END, ORDER, POINTS, START, ngrams, probabilities
+def kneser_ney(texts):
+    """Brute force over dictionaries: {order: counts}, and p(context, byte) for contexts of any length below the order."""
+    from quillspark.llm.quality import END, ORDER, START
 
-    texts = ["the river and the stone", "a garden of stones and letters", "\U00010400\U00010401\U00010402 \U00010400\U00010401", "a garden of stones and letters", "", None, "\0\0"]
-    levels = ngrams(spark.createDataFrame([(t,) for t in texts], "text string"))
-    padded = [START * (ORDER - 1) + t + END for t in texts if t]
+    padded = [bytes([START] * (ORDER - 1)) + t.encode() + bytes([END]) for t in texts if t]
     counts = {ORDER: collections.Counter(t[i : i + ORDER] for t in padded for i in range(len(t) - ORDER + 1))}
     for k in range(ORDER - 1, 0, -1):
         counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
-    assert all({r.gram: r.n for r in levels[k].df.collect()} == counts[k] for k in counts)
-    letters = sorted({t for g in counts[1] for t in g}) + ["\U0001f600"]
-    contexts = sorted({g[:-1] for g in counts[ORDER]})[::7] + ["zzzz", "\U00010401\U00010402 \U00010400"]
-    asked = spark.createDataFrame([(c + x,) for c in contexts for x in letters], "gram string")
-    rows = probabilities(asked, levels).collect()
-    for part in ("p", "alone"):
-        got = {r.gram: r[part] for r in rows}
-        sums = [sum(got[c + x] for x in letters[:-1]) + (POINTS - len(letters) + 1) * got[c + letters[-1]] for c in contexts]
-        assert all(abs(x - 1) < 1e-6 if part == "p" else x <= 1 + 1e-6 for x in sums)
-    by = {r.gram: r for r in rows}
-    # what has one text alone says nothing of that text
-    only = "\U00010401\U00010402 \U00010400\U00010401"
-    assert by[only].p > 0.1 > 20 * by[only].alone
+    gone, following = {}, collections.defaultdict(list)
+    for k, c in counts.items():
+        n1, n2, n3, n4 = (sum(n == x for n in c.values()) for x in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.5
+        raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+        gone[k] = [min(max(d, 0.05), j + 0.95) for j, d in enumerate(raw)]
+        for g, n in c.items():
+            following[g[:-1]].append(n)
+
+    def p(context, byte):
+        k = len(context) + 1
+        low = p(context[1:], byte) if context else 1 / 256
+        ns = following.get(context)
+        if not ns:
+            return low
+        n = counts[k][context + bytes([byte])]
+        cut = lambda n: gone[k][min(n, 3) - 1] if n else 0
+        return (n - cut(n) + sum(map(cut, ns)) * low) / sum(ns)
+
+    return counts, p
+
+
+def test_byte_model(spark):
+    """Counts, probabilities and sums over documents against dictionaries."""
+    from quillspark.llm.quality import END, ORDER, START, Model, discounts, fold, log_perplexity, ngrams
+
+    texts = ["the river and the stone", "a garden of stones and letters", "\U00010400\U00010401\U00010402 \U00010400\U00010401", "a garden of stones and letters", "", None, "\0\0", *(f"the river and {i} stones of the garden" for i in range(9))]
+    asked = [*texts, "the garden", "zzz \u4e16\u754c", "and" * 3000]
+    fold_of = {r.t: r.f for r in spark.createDataFrame([(t,) for t in asked], "t string").select("t", fold(F.xxhash64("t")).alias("f")).collect()}
+    levels = ngrams(spark.createDataFrame([(t,) for t in texts], "text string"))
+    counts, ps = zip(*(kneser_ney([t for t in texts if fold_of[t] == f]) for f in (0, 1)))
+    name = lambda g: int.from_bytes(g, "big")
+    for k, level in levels.items():
+        rows = level.df.collect()
+        for f in (0, 1):
+            assert {r.gram: r[f"n{f}"] for r in rows if r[f"n{f}"]} == {name(g): n for g, n in counts[f][k].items()}
+    arrays = {k: tuple(np.array([r[c] for r in level.df.collect()], np.int64) for c in ("gram", "n0", "n1")) for k, level in levels.items()}
+    model = Model(arrays, discounts(levels))
+    contexts = sorted({g[:-1] for f in (0, 1) for g in counts[f][ORDER]})[::7] + [b"zzzzz", b"zz th", bytes([START] * 5)]
+    for c in contexts:
+        for got, p in zip(model(np.array([name(c + bytes([x])) for x in range(256)], np.int64)), ps):
+            assert np.allclose(got, [p(c, x) for x in range(256)]) and abs(got.sum() - 1) < 1e-9
+    rows = log_perplexity(spark.createDataFrame([(i, t, "en") for i, t in enumerate(asked)], "doc_id long, text string, lang string"), levels).collect()
+    assert len(rows) == len(asked) and len(set(fold_of.values())) == 2
+    for r in rows:
+        p, text = ps[1 - fold_of[asked[r.doc_id]]], asked[r.doc_id]
+        t = bytes([START] * (ORDER - 1)) + (text or "").encode() + bytes([END])
+        want = [-math.log(p(t[i : i + ORDER - 1], t[i + ORDER - 1])) for i in range(len(t) - ORDER + 1)] if text else []
+        assert r.n_symbols == len(want) and abs(r.nll - sum(want)) <= 0.0005 * len(want) + 1e-9
+
+
+def test_byte_model_in_pieces(monkeypatch):
+    """Texts longer than a step give the same n-grams."""
+    import pyarrow as pa
+
+    from quillspark.llm import quality
+
+    texts = ["", "ab", "x" * 50, None, "the river", "\u4e16\u754c" * 20, "q"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    whole = lambda: [(g, w + at) for at, (_, lengths, data) in zip(starts(), quality._slices([batch], 0)) for gs, ws in quality._grams(lengths, data) for g, w in zip(gs.tolist(), ws.tolist())]
+
+    def starts():
+        at = 0
+        for rows, _, _ in quality._slices([batch], 0):
+            yield at
+            at += rows.num_rows
+
+    one = whole()
+    assert len(one) == sum(len(t.encode()) + 1 for t in texts if t)
+    monkeypatch.setattr(quality, "_STEP_GRAMS", 7)
+    monkeypatch.setattr(quality, "_STEP_BYTES", 11)
+    assert whole() == one
 
 
 def test_quality_folds_no_letters(spark):
