@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions.lexicon import CASED, FOLDED, guarded, jvm
 
 _SPACE = r"[\s\x1c-\x1f]"
-PLACES = "array<struct<s:int,e:int,m:string>>"
+PLACE = "struct<s:int,e:int,m:string>"
+_GROUP, _PIECE = 64, 1024
 
 
 def strip(text: Column) -> Column:
@@ -78,29 +81,66 @@ def netloc(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, where it would be computed again for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def scan(items: Column, start: Column, state: str, out: str, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column]) -> Column:
+    """emit(state before, x) of each element, with step(state before, x) as the next state; state and out are their types.
+
+    An array is copied whenever it grows, so results are gathered in groups of 64 and these put together.
+    """
+
+    def group(before: Column, some: Column) -> Column:
+        return F.aggregate(some, F.struct(before.alias("state"), F.array().cast(f"array<{out}>").alias("out")), lambda a, x: F.struct(step(a["state"], x).cast(state).alias("state"), F.concat(a["out"], F.array(emit(a["state"], x).cast(out))).alias("out")))
+
+    def whole(l: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(l) - 1) / _GROUP).cast("int"), F.lit(0))), lambda c: F.slice(l, c * _GROUP + 1, F.lit(_GROUP)))
+        first = F.struct(start.cast(state).alias("state"), F.array().cast(f"array<array<{out}>>").alias("out"))
+        return F.aggregate(groups, first, lambda acc, some: bound(group(acc["state"], some), lambda g: F.struct(g["state"].alias("state"), F.concat(acc["out"], F.array(g["out"])).alias("out"))), lambda acc: F.flatten(acc["out"]))
+
+    return bound(items, whole)
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches of a pattern that never matches nothing: struct(s, e, m), places in code points, ends exclusive.
+
+    The pieces between matches and the matches, laid end to end, give the places.
+    """
+    laid = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
+    kept = F.filter(laid, lambda x: x["m"].isNotNull())
+    end = lambda at, x: at + x["g"] + F.length(x["m"])
+    return scan(kept, F.lit(0), "int", PLACE, end, lambda at, x: F.struct((at + x["g"]).alias("s"), end(at, x).alias("e"), x["m"].alias("m")))
+
+
 def places(text: Column, name: str) -> Column:
     """Matches of a named pattern with their start and end (code points), in order."""
-    p = pattern(name)
-    laid = F.zip_with(F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), 0), lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
+    return matches(text, pattern(name))
+
+
+def pieces(text: Column) -> Column:
+    """The text cut into equal pieces, for piece(); any part of a long text is then at hand without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), 0)
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"])
-        one = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
 
-    return F.aggregate(laid, start, step, lambda acc: acc["out"])
+def piece(cut: Column, start: Column, n: Column) -> Column:
+    """n characters of pieces() from start (0 is the first)."""
+    first = F.floor(start / _PIECE).cast("int")
+    some = F.slice(cut, first + 1, F.floor((start + n) / _PIECE).cast("int") - first + 1)
+    return F.substring(F.array_join(some, ""), start - first * _PIECE + 1, n)
 
 
-def around(text: Column, place: Column, k: int) -> Column:
-    """The match with up to k characters on either side."""
+def around(cut: Column, place: Column, k: int) -> Column:
+    """The match with up to k characters on either side; cut: pieces() of the text."""
     low = F.greatest(place["s"] - k, F.lit(0))
-    return F.substring(text, low + 1, F.least(place["e"] + k, F.length(text)) - low)
+    return piece(cut, low, place["e"] + k - low)
 
 
-def snippets(text: Column, name: str, most: int, k: int = 60) -> Column:
-    return F.transform(F.slice(places(text, name), 1, most), lambda p: normalize(around(text, p, k)))
+def snippets(text: Column, name: str, most: int | None, k: int = 60) -> Column:
+    """Surroundings of the first matches, of all if most is None."""
+    found = places(text, name) if most is None else F.slice(places(text, name), 1, most)
+    return bound(pieces(text), lambda cut: F.transform(found, lambda p: normalize(around(cut, p, k))))
 
 
 def compress(text: Column, most: int = 200) -> Column:
@@ -143,9 +183,10 @@ def shouting(text: Column) -> Column:
 
 def attribution(text: Column) -> Column:
     """Share of long quotes with a name and a verb of saying within 120 characters; 0 without quotes."""
-    quotes = places(text, "quote")
-    named = F.filter(quotes, lambda p: has(around(text, p, 120), "attribution_verb") & has(around(text, p, 120), "name"))
-    return F.when(F.size(quotes) == 0, F.lit(0.0)).otherwise(clamp(F.size(named) / F.greatest(F.size(quotes), F.lit(1))))
+    near = bound(pieces(text), lambda cut: F.transform(places(text, "quote"), lambda p: around(cut, p, 120)))
+    named = F.transform(near, lambda t: (has(t, "attribution_verb") & has(t, "name")).cast("int"))
+    counted = F.aggregate(named, F.struct(F.lit(0).alias("n"), F.lit(0).alias("all")), lambda a, x: F.struct((a["n"] + x).alias("n"), (a["all"] + 1).alias("all")))
+    return bound(counted, lambda c: F.when(c["all"] == 0, F.lit(0.0)).otherwise(clamp(c["n"] / F.greatest(c["all"], F.lit(1)))))
 
 
 def coherence(tokens: Column, sents: Column) -> Column:

@@ -63,15 +63,19 @@ def movers(text: Column) -> Column:
 
     The company is what stands in the 50 characters before, ahead of an opening bracket.
     """
-    rows = F.transform(T.places(text, "mover"), lambda p: F.struct(
+    row = lambda cut, p: F.struct(
         F.regexp_extract(p["m"], L.jvm(L.CASED["mover"]), 1).alias("ticker"),
+        p["s"].alias("at"),
         F.replace(F.regexp_extract(p["m"], r"C?\$\s*\d+(?:\.\d+)?", 0), F.lit(" "), F.lit("")).alias("price"),
         F.regexp_extract(p["m"], r"[-+]\d+(?:\.\d+)?%", 0).alias("change"),
-        T.strip(F.regexp_extract(F.substring(text, F.greatest(p["s"] - 50, F.lit(0)) + 1, F.least(p["s"], F.lit(50))), r"([A-Za-z][A-Za-z\s&',.\-]{2,35})\s*\(\s*$", 1)).alias("company"),
-    ))
-    real = F.filter(rows, lambda x: ~x["ticker"].isin(*L.FAKE_TICKERS))
-    tickers = F.transform(real, lambda x: x["ticker"])
-    return F.filter(real, lambda x, i: F.array_position(tickers, x["ticker"]) == i + 1)
+        T.strip(F.regexp_extract(T.piece(cut, F.greatest(p["s"] - 50, F.lit(0)), F.least(p["s"], F.lit(50))), r"([A-Za-z][A-Za-z\s&',.\-]{2,35})\s*\(\s*$", 1)).alias("company"),
+    )
+    rows = T.bound(T.pieces(text), lambda cut: F.transform(T.places(text, "mover"), lambda p: row(cut, p)))
+    real = F.array_sort(F.filter(rows, lambda x: ~x["ticker"].isin(*L.FAKE_TICKERS)))
+    # by ticker and place, a row is the first of its ticker where the ticker before is another
+    seen = T.scan(real, F.lit(""), "string", "struct<first:boolean,at:int,ticker:string,price:string,change:string,company:string>", lambda _, x: x["ticker"], lambda last, x: F.struct(last != x["ticker"], x["at"], x["ticker"], x["price"], x["change"], x["company"]))
+    first = F.array_sort(F.filter(seen, lambda x: x["first"]))
+    return F.transform(first, lambda x: F.struct(x["ticker"].alias("ticker"), x["price"].alias("price"), x["change"].alias("change"), x["company"].alias("company")))
 
 
 def mover_line(x: Column) -> Column:

@@ -52,15 +52,14 @@ def claims(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """A row for each claim: keys, pos, entity_key, entity_label, raw_value, numeric_value, unit, context.
 
     Labelled lines come before inline mentions; of the same entity and number in one document the first
-    stays. keys name a document.
+    stays, which is settled among rows, so that a document's cost follows its length. keys name a document.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     both = F.concat(_hits(t, L.COLON_CLAIM, 1), _hits(t, L.INLINE_CLAIM, 2))
-    named = F.filter(F.transform(both, lambda x: F.struct(x["pass"], x["at"], entity(x["fragment"]).alias("entity"), x["raw"], parse_value(x["raw"]).alias("number"), x["context"])), lambda x: x["entity"].isNotNull() & x["number"].isNotNull())
-    same = F.transform(named, lambda x: F.struct(x["entity"]["key"], x["number"]))
-    first = F.filter(named, lambda x, i: F.array_position(same, F.struct(x["entity"]["key"], x["number"])) == i + 1)
-    rows = df.select(*keys, F.posexplode(first).alias("pos", "c"))
-    return rows.select(*keys, "pos", F.col("c.entity.key").alias("entity_key"), F.col("c.entity.label").alias("entity_label"), F.col("c.raw").alias("raw_value"), F.col("c.number").alias("numeric_value"), unit(F.col("c.raw")).alias("unit"), F.col("c.context").alias("context"))
+    named = F.filter(F.transform(both, lambda x: F.struct(entity(x["fragment"]).alias("entity"), x["raw"], parse_value(x["raw"]).alias("number"), x["context"])), lambda x: x["entity"].isNotNull() & x["number"].isNotNull())
+    rows = df.select(*keys, F.posexplode(named).alias("pos", "c"))
+    first = rows.groupBy(*keys, F.col("c.entity.key").alias("entity_key"), F.col("c.number").alias("numeric_value")).agg(F.min(F.struct("pos", F.col("c.entity.label").alias("label"), "c.raw", "c.context")).alias("c"))
+    return first.select(*keys, "c.pos", "entity_key", F.col("c.label").alias("entity_label"), F.col("c.raw").alias("raw_value"), "numeric_value", unit(F.col("c.raw")).alias("unit"), "c.context")
 
 
 def entities(found: DataFrame, group: str = "group_id") -> DataFrame:

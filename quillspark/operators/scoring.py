@@ -96,8 +96,7 @@ def features(df: DataFrame) -> DataFrame:
     """df (as document() gives it) with columns __f_*: text forms, counts and sub-scores that need the text."""
     text = F.col("text")
     df = put(df, "f", normalized=T.normalize(text), sentences=T.sentences(text))
-    marks = T.places(text, "evidence")
-    anchored = F.size(F.filter(marks, lambda p: T.has(T.around(text, p, 80), "spec_window")))
+    anchored = T.bound(T.pieces(text), lambda cut: F.size(F.filter(T.places(text, "evidence"), lambda p: T.has(T.around(cut, p, 80), "spec_window"))))
     df = put(
         df, "f", tokens=T.words(_f("normalized")), n_sentences=F.greatest(F.size(_f("sentences")), F.lit(1)), **{f"n_{k}": T.count(text, k) for k in COUNTED},
         n_quotes=T.count(text, "quote"), n_exclaims=T.exclaims(text), anchored=anchored, shouting=T.shouting(text), attribution=T.attribution(text), non_english=T.looks_non_english(text),

@@ -108,7 +108,7 @@ def q_coherence_all(spark, d):
 @query(f"WITH c AS ({O.ORDERS}) SELECT doc_id, w.i AS pos, w.x AS around FROM (SELECT doc_id, unnest(list_transform({O.windows('evidence', 60)}, lambda x, i: {{'i': i, 'x': {O.normalized('x')}}})) AS w FROM c)")
 def q_match_windows(spark, d):
     t = F.col("text")
-    rows = C.orders_corpus(spark, d).select("doc_id", F.posexplode(T.snippets(t, "evidence", 1000)).alias("p", "around"))
+    rows = C.orders_corpus(spark, d).select("doc_id", F.posexplode(T.snippets(t, "evidence", None)).alias("p", "around"))
     return rows.select("doc_id", (F.col("p") + 1).cast("bigint").alias("pos"), "around")
 
 

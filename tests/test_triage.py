@@ -165,3 +165,21 @@ def test_coherence_of_every_language(spark, tmp_path):
     assert set(got) == set(texts)
     for i, n in ((1, 0), (2, 1), (3, 0)):
         assert abs(got[i] - brute(texts[i], n)) < 1e-9
+
+
+def test_long_documents(spark):
+    """Claims, movers and places of one text follow its length."""
+    import time
+
+    from quillspark.operators import briefs, claims
+    from quillspark.functions import text as T
+
+    lines = "".join(f"CPI: {i % 5000}.5%\nFoo (AB{chr(65 + i % 26)}) at $5.00 (+1.0%) up.\n" for i in range(10_000))
+    rows = spark.createDataFrame([("g", 0, lines), ("g", 1, "CPI: 3%\nCPI: 3%\nAAA at $5.00 +1.0%\nAAA at $6.00 +2.0%")], "group_id string, doc_idx int, text string")
+    began = time.time()
+    assert {r.doc_idx: r.n for r in claims.claims(rows, ["group_id", "doc_idx"]).where("entity_key = 'cpi'").groupBy("doc_idx").agg(F.count("*").alias("n")).collect()} == {0: 5000, 1: 1}
+    got = {r.doc_idx: r.m for r in rows.select("doc_idx", briefs.movers(F.col("text")).alias("m")).collect()}
+    assert [m.ticker for m in got[0]] == [f"AB{chr(65 + i)}" for i in range(26)] and [(m.ticker, m.price) for m in got[1]] == [("AAA", "$5.00")]
+    assert got[0][0].company == "Foo"
+    marks = spark.createDataFrame([("the audit of 5 files. " * 20_000,)], "text string").select(F.size(T.snippets(F.col("text"), "evidence", None)).alias("n"), T.attribution(F.col("text"))).first()
+    assert marks.n == 20_000 and time.time() - began < 120
