@@ -13,13 +13,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.spans import listed, matches, named, overlaps
+from quillspark.llm.spans import clear_of_base, listed, matches, named
 
 # The forms asked for.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # the same as every run of which those below 24 are dropped
 KINDS = ("assign", "access", "hex", "entropy")
+SPAN = "struct<s:int,k:int,e:int,kind:string,m:string>"
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -81,8 +82,8 @@ def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     )
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
     rows = rows.select("doc_id", base.alias("base"), named(matches(t, CANDIDATE, t.rlike(CANDIDATE)), "entropy", 3, lambda m: _secret(m, window)).alias("more"))
-    rows = rows.select("doc_id", "base", F.filter("more", lambda x: ~overlaps(x, F.col("base"))).alias("more"))
-    return rows.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", "more")).alias("spans"))
+    spans = F.when(F.size("more") == 0, F.array_sort("base")).otherwise(clear_of_base(F.concat("base", "more"), len(KINDS) - 1, SPAN))
+    return rows.select("doc_id", F.array_sort("base").alias("base"), spans.alias("spans"))
 
 
 def digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

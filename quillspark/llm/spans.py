@@ -7,24 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
+
 MATCHES = "array<struct<s:int,e:int,m:string>>"
 
 
 def matches(text: Column, pattern: str, gate: Column | None = None) -> Column:
-    """Leftmost non-overlapping matches of a pattern that never matches nothing.
+    """Leftmost non-overlapping matches of a pattern that never matches nothing, with their places.
 
-    gate: a cheaper condition without which there can't be one; text must not be null. The pieces between
-    matches and the matches, laid end to end, give the places.
+    gate: a cheaper condition without which there can't be one; text must not be null.
     """
-    laid = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCHES).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"])
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out")))
-
-    found = F.aggregate(laid, start, step, lambda acc: acc["out"])
+    found = T.matches(text, pattern)
     return found if gate is None else F.when(gate, found).otherwise(F.array().cast(MATCHES))
 
 
@@ -39,20 +32,25 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def overlaps(x: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))
+def clear_of_base(spans: Column, kinds: int, span: str) -> Column:
+    """Spans without those of kinds from ``kinds`` on that overlap one below, sorted; span is their type.
+
+    One pass in order has the furthest end of the base spans before each, one in reverse the nearest start behind.
+    """
+    marked = f"struct<x:{span},hit:boolean>"
+    base = lambda x: x["k"] < kinds
+    ahead = T.scan(F.array_sort(spans), F.lit(0), "int", marked, lambda end, x: F.when(base(x), F.greatest(end, x["e"])).otherwise(end), lambda end, x: F.struct(x, ~base(x) & (x["s"] < end)))
+    back = T.scan(F.reverse(ahead), F.lit(2**31 - 1), "int", marked, lambda at, y: F.when(base(y["x"]), y["x"]["s"]).otherwise(at), lambda at, y: F.struct(y["x"], y["hit"] | (~base(y["x"]) & (at < y["x"]["e"]))))
+    return F.reverse(F.transform(F.filter(back, lambda y: ~y["hit"]), lambda y: y["x"]))
 
 
 def replaced(text: Column, spans: Column, label: Callable[[Column], Column]) -> Column:
     """The text with label(span) in place of each span; overlapping ones leave one label."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        more = F.array(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), label(x))
-        out = F.when(x["s"] >= acc["at"], F.concat(acc["out"], more)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+    def rebuilt(cut: Column, spans: Column) -> Column:
+        one = lambda at, x: F.when(x["s"] >= at, F.concat(T.piece(cut, at, x["s"] - at), label(x))).otherwise(F.lit(""))
+        parts = T.scan(spans, F.lit(0), "int", "string", lambda at, x: F.greatest(at, x["e"]), one)
+        end = F.array_max(F.transform(spans, lambda x: x["e"]))
+        return F.concat(F.array_join(parts, ""), T.piece(cut, end, F.length(text) - end))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(F.array_sort(spans), start, step, finish))
+    return F.when(F.size(spans) == 0, text).otherwise(T.bound(F.array_sort(spans), lambda x: T.bound(T.pieces(text), lambda cut: rebuilt(cut, x))))
