@@ -7,7 +7,8 @@ a rank that leaves about k (ln k + 2) of them; each dart belongs to one of k coo
 signature keeps each coordinate's dart of least rank. Two documents agree in a coordinate with the
 probability of their weighted Jaccard similarity. Where a coordinate has no dart, the rank doubles.
 
-Documents of equal multisets are folded into one. The rest meet in bands of signature entries. Members of
+Documents of equal multisets are folded into one, whatever their ids: a node is a multiset, named by one of its
+rows. The rest meet in bands of signature entries. Members of
 a bucket are checked against one leader on their exact multisets, and those that this leaves apart against
 another. What no link has joined with its bucket by then is joined exactly on each document's rarest items, so that no link between different texts is lost, and
 neither copies nor common passages are expanded into pairs.
@@ -188,9 +189,10 @@ class DartMinHash:
 
 
 def _steps(batches):
-    """(ids, texts) a bounded number of documents and characters at a time; null texts are empty."""
+    """(keys, texts) a bounded number of documents and characters at a time; a key has the columns before the text, null texts are empty."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        *before, texts = batch.columns
+        ids = list(zip(*(c.to_pylist() for c in before)))
         for at in range(0, len(ids), _STEP_DOCS):
             some = [t or "" for t in texts.slice(at, _STEP_DOCS).to_pylist()]
             keys, held, size = [], [], 0
@@ -206,7 +208,7 @@ def _steps(batches):
 
 
 def _sign(width: int, bands: int, rows: int):
-    """(id, text) to (id, h1, h2, keys): h1 and h2 name the multiset, keys the buckets; null without words."""
+    """(id, text_hash, text) to (id, text_hash, h1, h2, keys): h1 and h2 name the multiset, keys the buckets; null without words."""
 
     def run(batches):
         import numpy as np
@@ -229,7 +231,8 @@ def _sign(width: int, bands: int, rows: int):
             blank = np.bincount(where, minlength=n) == 0
             offsets = np.arange(n + 1, dtype=np.int32) * bands
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(h, mask=blank) for h in names), lists], names=["id", "h1", "h2", "keys"])
+            kept = [pa.array(c, pa.int64()) for c in zip(*ids)]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(h, mask=blank) for h in names), lists], names=["id", "text_hash", "h1", "h2", "keys"])
         trim()
 
     return run
@@ -249,7 +252,7 @@ def _items(width: int):
             hashed = (_mix(np.repeat(item, weight) + nth.astype(np.uint64) * np.uint64(_C1)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum(np.bincount(doc.astype(np.int64), weight, len(ids)).astype(np.int32), out=offsets[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed))], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed))], names=["id", "items"])
         trim()
 
     return run
@@ -264,20 +267,25 @@ def _linked(pairs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared >= union * F.lit(similarity)).select("a", "b")
 
 
-def _sharing_prefix(docs: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+def _sharing_prefix(docs: DataFrame, items: DataFrame, similarity: float, hot_parts: int = 1000) -> DataFrame:
     """Pairs (a, b) of documents (rep, root) of different roots, among them all that are at least so similar.
 
     Items are ordered from the rarest. A pair as similar as asked shares at least
     need = similarity / (1 + similarity) of both sizes' sum, so behind its first shared item each side has that
     many left: that item is among the first n - 2 need n + 1 of the smaller document and among the first
-    n - similarity n + 1 of the larger one. A passage in many documents thus makes no pairs by itself.
+    n - similarity n + 1 of the larger one. A passage in many documents thus makes no pairs by itself. Counts of
+    items that hold more than 1 / hot_parts of all occurrences, fewer than hot_parts rows, are broadcast, so
+    that no task gets all holders of a common item.
     """
     part, slack = similarity / (1 + similarity), 1e-9
-    spread = items.join(docs, F.col("id") == F.col("rep")).withColumn("items", F.array_distinct("items")).select("rep", "root", F.size("items").alias("n"), F.explode("items").alias("x"))
+    spread = cut(items.join(docs, F.col("id") == F.col("rep")).withColumn("items", F.array_distinct("items")).select("rep", "root", F.size("items").alias("n"), F.explode("items").alias("x")))
     often = spread.groupBy("x").agg(F.count("*").alias("f"))
+    common = often.where(F.col("f") > spread.count() / hot_parts).withColumnRenamed("f", "hot")
+    marked = spread.join(F.broadcast(common), "x", "left")
+    counted = marked.where("hot IS NULL").drop("hot").join(often, "x").unionByName(marked.where("hot IS NOT NULL").withColumnRenamed("hot", "f"))
     rarest = Window.partitionBy("rep").orderBy("f", "x")
     left = F.col("n") - F.row_number().over(rarest) + 1
-    prefix = spread.join(often, "x").withColumn("left", left).where(F.col("left") >= F.col("n") * similarity - slack)
+    prefix = counted.withColumn("left", left).where(F.col("left") >= F.col("n") * similarity - slack)
     prefix = cut(prefix.where("f > 1").select("x", "rep", "root", "n", "left"))
     small = prefix.where(F.col("left") >= 2 * part * F.col("n") - slack).alias("s")
     need = part * (F.col("s.n") + F.col("l.n")) - slack
@@ -286,24 +294,30 @@ def _sharing_prefix(docs: DataFrame, items: DataFrame, similarity: float) -> Dat
 
 
 def near_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bands: int = 24, rows: int = 5, leaders: int = 2) -> DataFrame:
-    """One row for each row: doc_id, class_id, n_exact, kept.
+    """One row for each row: doc_id, text_hash, class_id, n_exact, kept.
 
     Documents whose weighted Jaccard similarity of shingles is at least similarity are linked; class_id is
-    the least doc_id that links reach and kept marks the documents that have it. n_exact counts documents
+    the least doc_id that links reach and kept marks the rows of the class that have it. n_exact counts documents
     of the same multiset. A pair at the threshold meets in some band with probability
     1 - (1 - similarity ** rows) ** bands, 0.99993 here. Texts without words (null, empty, marks only) are
-    classes of their own; fewer words than the width make one shingle; rows that share a doc_id share its
-    class only by their texts; rows without doc_id come out with a null class and are kept. An empty table
+    classes of their own; fewer words than the width make one shingle; rows that share a doc_id are told
+    apart by their texts and share a class only by them, in any order of the rows; classes may then share
+    a class_id, and of the rows that have it those of the least text_hash are kept in each. Rows without
+    doc_id come out with a null class and are kept. An empty table
     gives no rows; other columns are ignored.
     """
-    rows_in = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = Stored(rows_in.mapInArrow(_sign(width, bands, rows), "id bigint, h1 bigint, h2 bigint, keys array<bigint>"), "signatures")
-    folded = Stored(signed.df.where("id IS NOT NULL AND h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys")), "classes")
+    t = F.col(text).cast("string")
+    rows_in = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(t).alias("text_hash"), t.alias("text"))
+    signed = Stored(rows_in.mapInArrow(_sign(width, bands, rows), "id bigint, text_hash bigint, h1 bigint, h2 bigint, keys array<bigint>").withColumn("row", F.monotonically_increasing_id()), "signatures")
+    named_rows = signed.df.where("id IS NOT NULL AND h1 IS NOT NULL")
+    # the row of a multiset is settled once its table is written; ids and texts choose it, not the order of rows
+    folded = Stored(named_rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "text_hash", "row")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")).select("h1", "h2", "first.*", "n", "keys").withColumnRenamed("row", "rep"), "classes")
     met = folded.df.select("rep", F.explode("keys").alias("key"))
     buckets = met.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = Stored(met.join(buckets.select("key", "leader"), "key"), "buckets")
-    wanted = members.df.select(F.col("rep").alias("id")).distinct()
-    items = Stored(rows_in.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_items(width), "id bigint, items array<int>"), "shingles")
+    wanted = folded.df.select("id", "text_hash", "rep").join(members.df.select("rep").distinct(), "rep", "left_semi")
+    found = rows_in.join(wanted, ["id", "text_hash"]).dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "text")
+    items = Stored(found.mapInArrow(_items(width), "id bigint, items array<int>"), "shingles")
     tested = members.df.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = cut(_linked(tested, items.df, similarity))
     for again in range(leaders):
@@ -321,10 +335,15 @@ def near_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     roots = components(links).withColumnRenamed("node", "rep")
     items.drop()
     members.drop()
-    named = folded.df.select("h1", "h2", "rep", "n").join(roots, "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), F.col("n").alias("n_exact"))
+    # a component's class_id is its least doc_id; of several texts under that id, the least hash is the one that stays
+    whole = folded.df.select("h1", "h2", "rep", "id", "text_hash", "n").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    least = whole.groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("least"))
+    named = whole.join(least, "root").select("h1", "h2", F.col("least.id").alias("class_id"), F.col("least.text_hash").alias("class_hash"), F.col("n").alias("n_exact"))
+    stays = (F.col("doc_id") == F.col("class_id")) & (F.coalesce("class_hash", "text_hash") == F.col("text_hash"))
     return (
-        signed.df.select("id", "h1", "h2")
+        signed.df.select("id", "text_hash", "h1", "h2")
         .join(named, ["h1", "h2"], "left")
-        .select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("n_exact", F.lit(1)).cast("bigint").alias("n_exact"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+        .select(F.col("id").alias("doc_id"), "text_hash", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("n_exact", F.lit(1)).cast("bigint").alias("n_exact"), "class_hash")
+        .withColumn("kept", F.coalesce(stays, F.lit(True)))
+        .drop("class_hash")
     )

@@ -1,13 +1,16 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 A vector's dimensions are cut into m slices; a slice's inner products with a query are one local score
-list, and the score is their sum. Phase 1 gathers the best k entries of every local list and resolves
-them, which gives each query a safe cutoff: the k-th best of the scores found, tau. Phase 2 sends every
-query's cutoff to all lists and collects the entries of at least tau / m: a candidate that reaches tau
-has one. Phase 3 resolves what is still missing for the candidates whose upper bound reaches tau.
-
-Queries meet candidates in blocks: a block of queries is kept in memory while the rows of one group of
-candidates stream past it. No pair becomes a row unless it is among a block's best k.
+list, and the score is their sum. No list entry exceeds the product of the slice's norms, so a list has an
+order in which it can be read without being computed whole. Phase 1 gathers the best k entries of the head of
+every local list, the vectors of greatest norm in that slice and some of all norms, and resolves them, which gives each query a safe
+cutoff: the k-th best of the scores found, tau. Phase 2 sends every query's cutoff to all lists. A candidate
+that reaches tau has a list with tau / m or more; list by list, what was found and the norms of what is left
+bound its score, and entries that can't reach tau are not asked for their further lists. Phase 3 resolves
+those that can, exactly.
+
+Queries meet candidates in blocks: a block of queries and a group of candidates are in memory together. No pair
+becomes a row unless it reaches its query's cutoff and is among the block's best k.
 """
 
 from __future__ import annotations
@@ -39,88 +42,118 @@ def _best(query, ids, score, k: int):
     return order[rank < k]
 
 
-def _scan(k: int, slices: int, exact: bool, step: int = 512):
+class Slices:
+    """Integer vectors as m slices of columns, with the slices' norms; exact as doubles below 2**53."""
+
+    def __init__(self, ids, mat, m: int, big: bool):
+        import numpy as np
+
+        self.ids, self.parts = ids, np.array_split(mat.astype(np.int64 if big else np.float64), min(m, mat.shape[1]), axis=1)
+        self.norms = [np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)) for x in self.parts]
+
+    def score(self, other: Slices, i, j, only: int | None = None, step: int = 1 << 16):
+        """Sums over the slices, or one of them, for the pairs (i, j)."""
+        import numpy as np
+
+        out = np.zeros(len(i), self.parts[0].dtype)
+        for s in range(len(self.parts)) if only is None else (only,):
+            for at in range(0, len(i), step):
+                some = slice(at, at + step)
+                out[some] += np.einsum("ij,ij->i", self.parts[s][i[some]], other.parts[s][j[some]])
+        return out
+
+
+def gather(q: Slices, c: Slices, k: int, head: int = 512):
+    """Phase 1: (i, j, score) of each query's best k among the head of every local list."""
+    import numpy as np
+
+    head = min(len(c.ids), max(head, len(c.ids) // 8))
+    spread = np.arange(0, len(c.ids), max(1, 2 * len(c.ids) // head))
+    pick = []
+    for x, y, norms in zip(q.parts, c.parts, c.norms):
+        top = np.union1d(np.argpartition(-norms, head // 2)[: head // 2], spread)
+        local = (x @ y[top].T).astype(np.float64)
+        local[q.ids[:, None] == c.ids[top][None, :]] = -np.inf
+        best = np.argpartition(-local, min(k, len(top)) - 1, axis=1)[:, :k]
+        pick.append(np.stack([np.repeat(np.arange(len(local)), best.shape[1]), top[best].ravel()], axis=1))
+    i, j = np.unique(np.concatenate(pick), axis=0).T
+    other = q.ids[i] != c.ids[j]
+    i, j = i[other], j[other]
+    return i, j, q.score(c, i, j)
+
+
+def resolve(q: Slices, c: Slices, tau, step: int = 1024, dense: float = 0.1):
+    """Phases 2 and 3: (i, j, score) of all pairs of at least their query's tau, and how many list entries were computed."""
+    import numpy as np
+
+    found, computed = [], 0
+    least = tau.astype(np.float64)
+    least -= np.abs(least) * 1e-9 + 1e-6  # bounds are rounded, the last test is not
+    for at in range(0, len(c.ids), step):
+        ids, norms, parts = c.ids[at : at + step], [n[at : at + step] for n in c.norms], [p[at : at + step] for p in c.parts]
+        rest = sum(a[:, None] * b[None, :] for a, b in zip(q.norms, norms))
+        alive = (q.ids[:, None] != ids[None, :]) & (rest >= least[:, None])
+        total, i, j = np.zeros(alive.shape, parts[0].dtype), None, None
+        for s, (x, y) in enumerate(zip(q.parts, parts)):
+            if i is None and np.count_nonzero(alive) < dense * alive.size:
+                i, j = np.nonzero(alive)
+                total, rest = total[i, j], rest[i, j]
+            if i is None:
+                rows, cols = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+                total[np.ix_(rows, cols)] += x[rows] @ y[cols].T
+                computed += len(rows) * len(cols)
+                rest -= q.norms[s][:, None] * norms[s][None, :]
+                alive &= total + rest >= least[:, None]
+            else:
+                total += q.score(c, i, at + j, s)
+                computed += len(i)
+                rest -= q.norms[s][i] * norms[s][j]
+                left = total + rest >= least[i]
+                i, j, total, rest = i[left], j[left], total[left], rest[left]
+        if i is None:
+            i, j = np.nonzero(alive)
+            total = total[i, j]
+        reach = total >= tau[i]
+        found.append((i[reach], at + j[reach], total[reach]))
+    i, j, total = (np.concatenate(x) for x in zip(*found))
+    return i, j, total, computed
+
+
+def _scan(k: int, slices: int, exact: bool):
     """The function over rows (key, kind, vec_id, v, tau): a key's queries (kind 0), then its candidates."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        key, queries, groups = None, [], None
-        found: list[tuple] = []
-
-        def flush():
-            nonlocal found
-            if found:
-                q, c, s = (np.concatenate(x) for x in zip(*found))
-                keep = _best(q, c, s, k)
-                found = [(q[keep], c[keep], s[keep])]
-
-        def emit():
-            flush()
-            if found:
-                q, c, s = found[0]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (q, c, s)], names=["query_id", "vec_id", "score"])
-            found.clear()
-
-        def close_queries():
-            """Queries by length of their vector."""
+        def by_length(rows):
+            """Rows (id, vector, tau) as arrays, by length of the vector."""
             by: dict[int, list] = {}
-            for row in queries:
+            for row in rows:
                 by.setdefault(len(row[1]), []).append(row)
-            return {n: (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([-np.inf if r[2] is None else r[2] for r in rows], float)) for n, rows in by.items()}
-
-        def meet(ids, mat):
-            if (block := groups.get(mat.shape[1])) is None:
-                return
-            qids, qmat, tau = block
-            big = float(np.abs(qmat).max(initial=0)) * float(np.abs(mat).max(initial=0)) * mat.shape[1] >= 2.0**53
-            dtype = np.int64 if big else np.float64  # float64 is exact below 2**53 and has the fast product
-            qs, cs = (np.array_split(x.astype(dtype), min(slices, x.shape[1]), axis=1) for x in (qmat, mat))
-            m = len(qs)
-            for at in range(0, len(ids), step):
-                part = ids[at : at + step]
-                lists = [a @ b[at : at + step].T for a, b in zip(qs, cs)]
-                other = qids[:, None] != part[None, :]
-                total = sum(lists)
-                if exact:
-                    seen = [m * x >= tau[:, None] for x in lists]
-                    bound = sum(np.where(s, m * x, tau[:, None]) for s, x in zip(seen, lists)) if np.isfinite(tau).all() else np.full(total.shape, np.inf)
-                    pick = other & np.logical_or.reduce(seen) & (bound >= m * tau[:, None]) & (total >= tau[:, None])
-                else:
-                    pick = np.zeros(total.shape, bool)
-                    for x in lists:
-                        x = np.where(other, x, -np.inf if not big else np.iinfo(np.int64).min)
-                        top = np.argpartition(-x if not big else ~x, min(k, x.shape[1]) - 1, axis=1)[:, :k]
-                        np.put_along_axis(pick, top, True, axis=1)
-                    pick &= other
-                i, j = np.nonzero(pick)
-                if len(i):
-                    found.append((qids[i], part[j], total[i, j].astype(np.int64)))
-                if sum(len(x[0]) for x in found) > 1 << 20:
-                    flush()
-
+            return {n: (np.array([r[0] for r in some], np.int64), np.array([r[1] for r in some], np.int64), np.array([np.iinfo(np.int64).min if r[2] is None else r[2] for r in some], np.int64)) for n, some in by.items()}
+
+        def meet(queries, candidates):
+            candidates = by_length(candidates)
+            for n, (qids, qmat, tau) in by_length(queries).items():
+                if n not in candidates:
+                    continue
+                ids, mat, _ = candidates[n]
+                big = float(np.abs(qmat).max(initial=0)) * float(np.abs(mat).max(initial=0)) * n >= 2.0**53
+                q, c = Slices(qids, qmat, slices, big), Slices(ids, mat, slices, big)
+                i, j, score = resolve(q, c, tau)[:3] if exact else gather(q, c, k)
+                keep = _best(qids[i], ids[j], score.astype(np.int64), k)
+                if len(keep):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (qids[i[keep]], ids[j[keep]], score[keep])], names=["query_id", "vec_id", "score"])
+
+        key, held = None, ([], [])
         for batch in batches:
-            keys, kinds, ids, taus = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 4))
-            vectors = batch.column(3)
-            at = 0
-            while at < len(keys):
-                if keys[at] != key:
-                    yield from emit()
-                    key, queries, groups = keys[at], [], None
-                end = at + int(np.argmax((keys[at:] != key) | (kinds[at:] != kinds[at]))) if (keys[-1] != key or kinds[-1] != kinds[at]) else len(keys)
-                part = vectors.slice(at, end - at)
-                lengths = np.diff(part.offsets.to_numpy())
-                values, offsets = part.values.to_numpy(), part.offsets.to_numpy()
-                if kinds[at] == 0:
-                    queries += [(ids[at + r], values[offsets[r] : offsets[r + 1]], None if np.isnan(float("nan") if taus[at + r] is None else taus[at + r]) else taus[at + r]) for r in range(end - at)]
-                else:
-                    groups = close_queries() if groups is None else groups
-                    for n in np.unique(lengths):
-                        rows = np.flatnonzero(lengths == n)
-                        meet(ids[at:end][rows], values[offsets[rows][:, None] + np.arange(n)])
-                at = end
-        yield from emit()
+            for name, kind, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), zip(batch.column(2).to_pylist(), (v.values.to_numpy() for v in batch.column(3)), batch.column(4).to_pylist())):
+                if name != key:
+                    yield from meet(*held)
+                    key, held = name, ([], [])
+                held[kind].append(row)
+        yield from meet(*held)
 
     return run
 
@@ -148,8 +181,8 @@ def top_k(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embed
         h = F.xxhash64("vec_id", "v")
         q = kept.df.where("q")
         q = q.join(cutoffs, q["vec_id"] == cutoffs["query_id"], "left").select("vec_id", "v", "tau") if cutoffs is not None else q.withColumn("tau", F.lit(None).cast("bigint"))
-        q = q.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.pmod(h, F.lit(blocks)) * groups + g)).alias("key"), F.lit(0).alias("kind"), "vec_id", "v", F.col("tau").cast("double").alias("tau"))
-        c = kept.df.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b * groups + F.pmod(h, F.lit(groups)))).alias("key"), F.lit(1).alias("kind"), "vec_id", "v", F.lit(None).cast("double").alias("tau"))
+        q = q.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.pmod(h, F.lit(blocks)) * groups + g)).alias("key"), F.lit(0).alias("kind"), "vec_id", "v", "tau")
+        c = kept.df.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b * groups + F.pmod(h, F.lit(groups)))).alias("key"), F.lit(1).alias("kind"), "vec_id", "v", F.lit(None).cast("bigint").alias("tau"))
         return q.unionByName(c).repartition("key").sortWithinPartitions("key", "kind")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

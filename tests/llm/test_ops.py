@@ -60,6 +60,26 @@ def test_top_k(spark):
     assert top_k(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_top_k_reads_fewer_entries_than_pairs():
+    """The cutoff spares list entries; all pairs that reach it are found, and scores near 2**60 are exact."""
+    from quillspark.llm.topk import Slices, gather, resolve
+
+    rng = np.random.default_rng(13)
+    centres = rng.normal(0, 1, (20, 64))
+    centres *= 8 / np.linalg.norm(centres, axis=1, keepdims=True)
+    mat = np.floor(256 * (centres[rng.integers(0, 20, 3000)] + rng.normal(0, 0.1, (3000, 64))) / 8).astype(np.int64)
+    for scale, big in ((1, False), (1 << 22, True)):
+        ids, whole = np.arange(3000), mat * scale
+        q, c = Slices(ids[:60] * 50, whole[:3000:50], 4, big), Slices(ids, whole, 4, big)
+        i, j, score = gather(q, c, 5)
+        tau = np.array([np.sort(score[i == r].astype(np.int64))[-5] for r in range(60)])
+        i, j, score, computed = resolve(q, c, tau)
+        exact = whole[:3000:50] @ whole.T
+        exact[np.arange(60), np.arange(60) * 50] = np.iinfo(np.int64).min
+        assert sorted(zip(i, j)) == sorted(zip(*np.nonzero(exact >= tau[:, None]))) and (score.astype(np.int64) == exact[i, j]).all()
+        assert computed < 0.6 * 4 * 60 * 3000
+
+
 # 2
 
 
@@ -590,6 +610,66 @@ def test_signatures_estimate_weighted_similarity():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.07
 
 
+def test_repeated_ids_in_any_order(spark):
+    """Texts are told apart whatever their ids; the same classes in either order of rows and any partitioning."""
+    from quillspark.llm.minhash_dedup import near_documents
+
+    random.seed(18)
+    word = lambda: random.choice("abcdefgh") + random.choice("ijklmnop") + random.choice("qrstuvwx")
+    a, b = ([word() for _ in range(200)] for _ in range(2))
+    near_b = [*b[:100], "changed", *b[101:]]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(near_b)), (3, " ".join(a)), (4, "alone here"), (4, "alone here")]
+    results = []
+    for some, parts in ((rows, 1), (rows[::-1], 1), (rows, 5), (rows[::-1], 3)):
+        got = near_documents(spark.createDataFrame(some, "doc_id long, text string").repartition(parts)).collect()
+        results.append(sorted((r.doc_id, r.text_hash, r.class_id, r.n_exact, r.kept) for r in got))
+    assert all(r == results[0] for r in results)
+    assert {(i, c) for i, _, c, _, _ in results[0]} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    # both texts of id 1 stay, for they are of two classes
+    assert sorted(r[0] for r in results[0] if r[4]) == [1, 1, 4, 4]
+
+
+def test_recall_of_changed_copies(spark):
+    """Of copies with some words changed, all those of similarity 0.8 or more are found and no others."""
+    from quillspark.llm.minhash_dedup import near_documents
+
+    random.seed(28)
+    word = lambda: random.choice("abcdefgh") + random.choice("ijklmnop") + random.choice("qrstuvwx")
+    texts, pairs = {}, []
+    for n in range(120):
+        base = [word() for _ in range(200)]
+        copy, changes = list(base), n % 10
+        for at in random.sample(range(200), changes):
+            copy[at] = word()
+        texts[2 * n], texts[2 * n + 1] = " ".join(base), " ".join(copy)
+        x, y = (collections.Counter(tuple(t[i : i + 5]) for i in range(196)) for t in (base, copy))
+        pairs.append((changes, sum((x & y).values()) / sum((x | y).values())))
+    got = {r.doc_id: r.class_id for r in near_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    linked = [got[2 * n + 1] == 2 * n for n in range(120)]
+    print({c: sum(linked[n] for n in range(c, 120, 10)) / 12 for c in range(10)})
+    assert linked == [s >= 0.8 for _, s in pairs]
+
+
+def test_common_items_and_hubs(spark):
+    """The same links and components where common items and hubs are broadcast."""
+    from quillspark.llm.components import components
+    from quillspark.llm.minhash_dedup import _sharing_prefix
+
+    random.seed(38)
+    sets = {i: random.sample(range(60), 12) + [100, 101] for i in range(80)}
+    sets |= {200 + i: s[:-3] + random.sample(range(60, 90), 3) for i, s in list(sets.items())[:40]}
+    items = spark.createDataFrame(list(sets.items()), "id long, items array<int>")
+    docs = spark.createDataFrame([(i, i) for i in sets], "rep long, root long")
+    similar = {(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) >= 0.6 * len(set(sets[a]) | set(sets[b]))}
+    for parts in (2, 50, 1_000_000):
+        got = {(r.a, r.b) for r in _sharing_prefix(docs, items, 0.6, parts).collect()}
+        assert similar and similar <= got
+    edges = [(0, i) for i in range(1, 300)] + [(i, 400 + i % 7) for i in range(1, 30)] + [(900, 901)]
+    for hub in (10, 10**6):
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), hub_edges=hub).collect()}
+        assert got == {n: 900 if n >= 900 else 0 for e in edges for n in e}
+
+
 # the pipeline
 
 
