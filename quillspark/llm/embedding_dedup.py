@@ -50,8 +50,30 @@ def merge_labels(labels, i, j) -> None:
             labels[:] = labels[labels]
 
 
+def _units(x):
+    """Rows as doubles of length one, scaled first so that no square over- or underflows."""
+    import numpy as np
+
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _opened(payloads: list[bytes], dim: int):
+    """Unit vectors of payloads, which hold 32-bit components where these are exact."""
+    import numpy as np
+
+    out = np.empty((len(payloads), dim))
+    narrow = np.array([len(p) == 4 * dim for p in payloads])
+    for which, kind in ((narrow, np.float32), (~narrow, np.float64)):
+        rows = np.flatnonzero(which)
+        if len(rows):
+            out[rows] = np.frombuffer(b"".join(payloads[r] for r in rows), kind).reshape(len(rows), dim)
+    return _units(out)
+
+
 def _hash(k: int, tables: int, width: float, seed: int):
-    """(rep, n, e) to (rep, n, dim, payload: float64 unit vector, codes: one of 32 bits for each table)."""
+    """(rep, n, e) to (rep, n, dim, payload: the components, codes: one of 32 bits for each table)."""
 
     def run(batches):
         import numpy as np
@@ -64,9 +86,11 @@ def _hash(k: int, tables: int, width: float, seed: int):
             lengths = np.diff(offsets)
             for dim in np.unique(lengths):
                 rows = np.flatnonzero(lengths == dim)
-                x = values[offsets[rows][:, None] + np.arange(dim)]
-                x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square over- or underflows
-                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+                raw = values[offsets[rows][:, None] + np.arange(dim)]
+                x = _units(raw)
+                with np.errstate(over="ignore"):
+                    narrow = raw.astype(np.float32)
+                payload = [n.tobytes() if same else r.tobytes() for n, r, same in zip(narrow, raw, (narrow == raw).all(axis=1))]
                 if dim not in made:
                     rng = np.random.default_rng([seed, int(dim)])
                     made[dim] = rng.standard_normal((int(dim), k * tables)), rng.uniform(0, width, k * tables), rng.integers(1, 1 << 62, k, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,7 +102,7 @@ def _hash(k: int, tables: int, width: float, seed: int):
                 codes = (h >> np.uint64(32)).astype(np.uint32).astype(np.int32)
                 took = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(took), batch.column(1).take(took), pa.array(np.full(len(rows), dim, np.int32)), pa.array([r.tobytes() for r in x], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables), pa.array(codes.ravel()))],
+                    [batch.column(0).take(took), batch.column(1).take(took), pa.array(np.full(len(rows), dim, np.int32)), pa.array(payload, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables), pa.array(codes.ravel()))],
                     names=["rep", "n", "dim", "x", "codes"],
                 )
 
@@ -136,7 +160,7 @@ def _check(similarity: float, step: int = 512):
             if len(held) > 1:
                 t, _, dim, lo, hi = held[0][0]
                 reps, ns, side = (np.array([h[c] for h in held]) for c in (1, 2, 3))
-                x = np.frombuffer(b"".join(h[4] for h in held), np.float64).reshape(len(held), -1)
+                x = _opened([h[4] for h in held], dim)
                 found = block(t, reps, ns, side, x, np.array([h[5] for h in held]), lo == hi)
                 if len(found[0]):
                     out.append(found)
@@ -171,7 +195,7 @@ def _check(similarity: float, step: int = 512):
     return run
 
 
-def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", similarity: float = 0.9, recall: float = 0.99, width: float = 2.0, met: int = 256, block: int = 2048, seed: int = 7) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", similarity: float = 0.9, recall: float = 0.99, width: float = 2.0, met: int = 256, block: int = 2048, seed: int = 7, broadcast_rows: int = 100_000) -> DataFrame:
     """One row for each row: vec_id, n_links, component_id, kept.
 
     Links join rows whose cosine, in double precision, is at least similarity; each such pair is found with
@@ -191,8 +215,9 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     k, tables = plan(folded.df.count(), similarity, recall, width, met)
     hashed = Stored(folded.df.select("rep", "n", "e").mapInArrow(_hash(k, tables, width, seed), "rep bigint, n bigint, dim int, x binary, codes array<int>"), "vector-codes")
     bucket = F.posexplode("codes").alias("t", "code")
-    large = hashed.df.select("dim", bucket).groupBy("t", "code", "dim").count().where(F.col("count") > block).select("t", "code", "dim", F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    dealt = hashed.df.select("rep", "n", "dim", "x", "codes", bucket).join(large, ["t", "code", "dim"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    large = cut(hashed.df.select("dim", bucket).groupBy("t", "code", "dim").count().where(F.col("count") > block).select("t", "code", "dim", F.ceil(F.col("count") / block).cast("int").alias("parts")))
+    few = large.count() <= broadcast_rows  # else vectors are dealt out by bucket for this join too
+    dealt = hashed.df.select("rep", "n", "dim", "x", "codes", bucket).join(F.broadcast(large) if few else large, ["t", "code", "dim"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     paired = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     paired = paired.select("t", "code", "dim", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "rep", "n", (F.col("mine") > F.col("other")).cast("int").alias("side"), "x", "codes")
