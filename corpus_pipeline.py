@@ -18,18 +18,22 @@ from quillspark.llm.quality import classify
 from quillspark.llm.spans import replaced
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for those whose doc_id is in ids; rows without doc_id stay."""
-    return docs.join(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for the rows with the doc_id (null or not) and text of a row of gone (doc_id, text_hash)."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
+    marked = docs.withColumn("__id", key)
+    ids = gone.select("doc_id", "text_hash").distinct()
+    same = marked["__id.doc_id"].eqNullSafe(ids["doc_id"]) & (marked["__id.text_hash"] == ids["text_hash"])
+    return marked.join(ids, same, "left_anti").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents above their language's perplexity; a doc_id goes if one of its rows does."""
+    """Drops the rows whose text lies above its language's perplexity."""
     return _without(docs, classify(docs, table(spark, sf_dir, "labels")).where("NOT kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each class, once if its row is repeated."""
+    """Keeps the document of least doc_id of each class, once if its row is repeated; rows without doc_id stay."""
     kept = _without(docs, near_documents(docs).where("NOT kept")).withColumn("__same", F.xxhash64("text"))
     once = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "__same"])
     return once.unionByName(kept.where("doc_id IS NULL")).select(docs.columns)
@@ -55,8 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each one's result written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table, each one's result written and read again, and dropped once the next one is written.
+
+    What the last stage reads stays, for its rows are made when the result is.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = Stored(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+        written = Stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            before.drop()
+        docs, before = written.df, written
     return STAGES[-1][1](spark, docs, sf_dir)
