@@ -92,17 +92,16 @@ def q_compress(spark, d):
     return documents(spark, d).select("doc_id", T.compress(F.col("text")).alias("item"))
 
 
-@query(f"WITH t AS (SELECT doc_id, {O.WORDS.format(O.normalized())} AS tokens, {O.sentences()} AS sents FROM documents WHERE lang = 'en') SELECT doc_id, {O.coherence('tokens', 'sents')} AS coherence FROM t")
+@query(f"WITH t AS (SELECT doc_id, {O.WORDS.format(O.normalized())} AS tokens, {O.sentences()} AS sents FROM documents) SELECT doc_id, {O.coherence('tokens', 'sents')} AS coherence FROM t")
 def q_coherence(spark, d):
-    rows = C.spread(C.table(spark, d, "documents").where("lang = 'en'")).select("doc_id", T.words(T.normalize(F.col("text"))).alias("w"), T.sentences(F.col("text")).alias("s"))
+    rows = documents(spark, d).select("doc_id", T.words(T.normalize(F.col("text"))).alias("w"), T.sentences(F.col("text")).alias("s"))
     return rows.select("doc_id", T.coherence(F.col("w"), F.col("s")).alias("coherence"))
 
 
 @query()
 def q_coherence_all(spark, d):
-    """As q_coherence, for documents of every language."""
-    rows = documents(spark, d).select("doc_id", T.words(T.normalize(F.col("text"))).alias("w"), T.sentences(F.col("text")).alias("s"))
-    return rows.select("doc_id", T.coherence(F.col("w"), F.col("s")).alias("coherence"))
+    """As q_coherence."""
+    return q_coherence(spark, d)
 
 
 @query(f"WITH c AS ({O.ORDERS}) SELECT doc_id, w.i AS pos, w.x AS around FROM (SELECT doc_id, unnest(list_transform({O.windows('evidence', 60)}, lambda x, i: {{'i': i, 'x': {O.normalized('x')}}})) AS w FROM c)")
@@ -421,8 +420,3 @@ def q_flag_counts(spark, d):
 def q_label_agreement(spark, d):
     rows = scored(documents(spark, d)).select("doc_id", "d.action")
     return rows.join(C.table(spark, d, "labels"), "doc_id").groupBy("action", "quality", "toxic").agg(F.count("*").alias("n"))
-
-
-@query()
-def q_examples(spark, d):
-    return analyze(readers.examples(spark)).select("label", "assessment.recommended_action", "assessment.custody_warning_level", "assessment.scores.overall_confidence")

@@ -137,7 +137,8 @@ _BONUS = f"list_reduce(list_transform(cls, lambda c: CASE c WHEN 'institutional'
 def coherence(tokens: str, sents: str) -> str:
     """Over columns of a subselect that has tokens and sents."""
     low = f"list_transform({tokens}, lambda x: lower(x))"
-    hits = cnt("connectives", f"array_to_string({low}, ' ')")
+    # RE2 takes letters beyond ASCII for edges of words
+    hits = cnt("connectives", f"regexp_replace(array_to_string({low}, ' '), '[^\\x00-\\x7F]', 'x', 'g')")
     lens = f"list_transform({sents}, lambda s: {n_words('s')})"
     connected = f"least({hits} / greatest(len({sents}), 1) / {d(0.25)}, {d(1.0)})"
     variety = f"least(greatest((len(list_distinct({low})) / greatest(len({tokens}), 1) - {d(0.25)}) / {d(0.4)}, {d(0.0)}), {d(1.0)})"
@@ -254,10 +255,10 @@ claims AS (SELECT group_id, doc_idx, source_name, pass, nth, entity_key, entity_
 """
 
 
-def entities() -> str:
+def entities(corpus: str = EVENTS) -> str:
     """claims() and up to table ``entities``."""
     crude = f"entity_key IN ({', '.join(map(q, L.CRUDE_KEYS))})"
-    return claims() + f""", g AS (SELECT group_id, entity_key, count(*) AS n_values, count(DISTINCT doc_idx) AS n_docs, min(numeric_value) AS low, max(numeric_value) AS high, bool_and(abs(numeric_value) < 20) AS small FROM claims GROUP BY ALL),
+    return claims(corpus) + f""", g AS (SELECT group_id, entity_key, count(*) AS n_values, count(DISTINCT doc_idx) AS n_docs, min(numeric_value) AS low, max(numeric_value) AS high, bool_and(abs(numeric_value) < 20) AS small FROM claims GROUP BY ALL),
 g2 AS (SELECT *, count(*) FILTER ({crude}) OVER (PARTITION BY group_id) = 2 AS crude, high - low AS spread FROM g),
 entities AS (SELECT *, CASE WHEN n_values = 1 THEN 'unique' WHEN crude AND {crude} THEN 'shared' WHEN CASE WHEN small THEN spread > {d(0.15)} ELSE spread > CASE WHEN low <> 0 THEN abs(low) ELSE {d(1.0)} END * {d(0.02)} END THEN 'conflict' ELSE 'alignment' END AS status FROM g2)
 """

@@ -15,7 +15,7 @@ WORKING = ("__f_", "__r_", "__s_", "__d_")
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """docs with the struct columns f, r, s and d: features, resolution, unrounded scores, decisions.
+    """docs (without columns of these names) with the struct columns f, r, s and d: features, resolution, unrounded scores, decisions.
 
     The structs hang on a condition that is no constant to the optimizer: else a filter on one of their
     fields would be pushed down with the whole tree of expressions in its place.
@@ -59,6 +59,8 @@ def assess(rows: DataFrame, with_brief: bool = True) -> DataFrame:
 def analyze(docs: DataFrame, with_brief: bool = True) -> DataFrame:
     """docs (text, and optionally source_type, source_name, source_url) with a column ``assessment``.
 
-    Null texts are empty. Other columns pass through, but for f, r, s, d and c, which are working names.
+    Null texts are empty. Other columns pass through, whatever their names; one named assessment gives way.
     """
-    return assess(scored(docs), with_brief)
+    own = {c: f"__own_{c}" for c in docs.columns if c in ("f", "r", "s", "d", "c")}
+    done = assess(scored(docs.drop("assessment").withColumnsRenamed(own)), with_brief)
+    return done.withColumnsRenamed({new: old for old, new in own.items()})
