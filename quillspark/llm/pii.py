@@ -66,8 +66,9 @@ def _any(words: tuple[str, ...]) -> str:
 
 def listed_forms(names: tuple[str, ...], streets: tuple[str, ...]) -> dict[str, str]:
     """Candidates that lists propose: a listed given name or a title before a name; a number and a street, in either order."""
-    person = rf"{_EDGE}(?:{_any(names)}(?:\x20\p{{Lu}}\.)?(?:\x20{_NAME}){{1,2}}|(?<={_any(TITLES)}[\x20.]\x20?){_NAME}(?:\x20{_NAME}){{0,2}})(?!\p{{L}})"
-    address = rf"{_EDGE}(?:[0-9]{{1,5}}[a-z]?\x20(?:{_NAME}\x20){{1,3}}{_any(streets)}|\p{{Lu}}\p{{Ll}}{{1,30}}(?:stra(?:ß|ss)e|gasse|allee|platz|weg)\x20[0-9]{{1,4}}[a-z]?)(?![\p{{L}}\p{{N}}])"
+    # a look at the first character comes first: Java then tries the lists at few places only
+    person = rf"(?=\p{{Lu}}){_EDGE}(?:{_any(names)}(?:\x20\p{{Lu}}\.)?(?:\x20{_NAME}){{1,2}}|(?<={_any(TITLES)}[\x20.]\x20?){_NAME}(?:\x20{_NAME}){{0,2}})(?!\p{{L}})"
+    address = rf"(?=[0-9\p{{Lu}}]){_EDGE}(?:[0-9]{{1,5}}[a-z]?\x20(?:{_NAME}\x20){{1,3}}{_any(streets)}|\p{{Lu}}\p{{Ll}}{{1,30}}(?:stra(?:ß|ss)e|gasse|allee|platz|weg)\x20[0-9]{{1,4}}[a-z]?)(?![\p{{L}}\p{{N}}])"
     return {"person": person, "address": address}
 
 
@@ -133,7 +134,7 @@ def candidates(docs: DataFrame, text: str = "text", into: str = "__found", names
     ]
     gates = {
         "local_phone": digits & t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"), "national_id": digits & t.rlike("-[0-9]{2}-"), "account": digits & t.rlike("[A-Z]{2}[0-9]{2}"), "handle": t.contains("@"),
-        "person": t.rlike(rf"{_any(names)}\x20|{_any(TITLES)}[\x20.]"), "address": digits & t.rlike(rf"\x20{_any(streets)}|(?:stra(?:ß|ss)e|gasse|allee|platz|weg)\x20[0-9]"),
+        "person": t.rlike(rf"(?=[\p{{Lu}}])(?<![A-Za-z])(?:{_any(names)}\x20|{_any(TITLES)}[\x20.])"), "address": digits & t.rlike(r"[0-9][a-z]?\x20\p{Lu}|\p{Ll}\x20[0-9]"),
     }
     found = {**dict(strict), **{kind: matches(t, forms[kind], gates[kind]) for kind in KINDS_LOOSE}}
     return docs.withColumn(into, T.bound(T.pieces(t), lambda cut: F.concat(*(_voted(cut, m, kind, k, names, places) for k, (kind, m) in enumerate(found.items())))).cast(SPANS))
