@@ -48,29 +48,39 @@ def _hits(text: Column, pattern: str, pass_: int) -> Column:
     return F.transform(parts, lambda x, i: F.struct(F.lit(pass_).alias("pass"), i.alias("at"), T.strip(x["label"]).alias("fragment"), T.strip(x["value"]).alias("raw"), F.substring(x["whole"], 1, 120).alias("context")))
 
 
+CLAIM = "struct<new:boolean,pos:int,key:string,number:double,label:string,raw:string,context:string,new_entity:boolean>"
+
+
 def claims(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """A row for each claim: keys, pos, entity_key, entity_label, raw_value, numeric_value, unit, context.
+    """A row for each claim: keys, pos, entity_key, entity_label, raw_value, numeric_value, unit, context, new_entity.
 
-    Labelled lines come before inline mentions; of the same entity and number in one document the first
-    stays, which is settled among rows, so that a document's cost follows its length. keys name a document.
+    Labelled lines come before inline mentions; of the same entity and number in one document the first stays.
+    keys name a document, of one row; new_entity marks one claim of each entity in it. A document's claims are
+    sorted and read once, so its cost follows its length, and nothing is shuffled.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     both = F.concat(_hits(t, L.COLON_CLAIM, 1), _hits(t, L.INLINE_CLAIM, 2))
-    named = F.filter(F.transform(both, lambda x: F.struct(entity(x["fragment"]).alias("entity"), x["raw"], parse_value(x["raw"]).alias("number"), x["context"])), lambda x: x["entity"].isNotNull() & x["number"].isNotNull())
-    rows = df.select(*keys, F.posexplode(named).alias("pos", "c"))
-    first = rows.groupBy(*keys, F.col("c.entity.key").alias("entity_key"), F.col("c.number").alias("numeric_value")).agg(F.min(F.struct("pos", F.col("c.entity.label").alias("label"), "c.raw", "c.context")).alias("c"))
-    return first.select(*keys, "c.pos", "entity_key", F.col("c.label").alias("entity_label"), F.col("c.raw").alias("raw_value"), "numeric_value", unit(F.col("c.raw")).alias("unit"), "c.context")
+    named = F.transform(both, lambda x, i: F.struct(entity(x["fragment"]).alias("entity"), parse_value(x["raw"]).alias("number"), i.alias("pos"), x["raw"], x["context"]))
+    known = F.filter(named, lambda x: x["entity"].isNotNull() & x["number"].isNotNull())
+    ordered = F.array_sort(F.transform(known, lambda x: F.struct(x["entity"]["key"].alias("key"), x["number"], x["pos"], x["entity"]["label"].alias("label"), x["raw"], x["context"])))
+    last = "struct<key:string,number:double>"
+    marked = T.scan(
+        ordered, F.struct(F.lit("").alias("key"), F.lit(0.0).alias("number")), last, CLAIM, lambda _, x: F.struct(x["key"], x["number"]),
+        lambda was, x: F.struct((was["key"] != x["key"]) | (was["number"] != x["number"]), x["pos"], x["key"], x["number"], x["label"], x["raw"], x["context"], was["key"] != x["key"]),
+    )
+    rows = df.select(*keys, F.explode(F.filter(marked, lambda x: x["new"])).alias("c"))
+    return rows.select(*keys, "c.pos", F.col("c.key").alias("entity_key"), F.col("c.label").alias("entity_label"), F.col("c.raw").alias("raw_value"), F.col("c.number").alias("numeric_value"), unit(F.col("c.raw")).alias("unit"), "c.context", "c.new_entity")
 
 
 def entities(found: DataFrame, group: str = "group_id") -> DataFrame:
     """A row for each entity of each group, from claims with doc_idx and source_name: status, spread, values.
 
     status is unique, shared (crude benchmarks that are both present), conflict or alignment. Values are
-    partly aggregated before the one shuffle by group and entity.
+    partly aggregated before the shuffle by group and entity; what tells benchmarks apart takes another by group.
     """
     value = F.struct("doc_idx", "pos", F.col("source_name").alias("source"), F.col("numeric_value").alias("value"), "unit", F.col("raw_value").alias("raw"))
     by = found.groupBy(group, "entity_key").agg(
-        F.first("entity_label").alias("entity_label"), F.count("*").alias("n_values"), F.count_distinct("doc_idx").alias("n_docs"), F.min(F.struct("doc_idx", "pos")).alias("seen"),
+        F.first("entity_label").alias("entity_label"), F.count("*").alias("n_values"), F.count_if("new_entity").alias("n_docs"), F.min(F.struct("doc_idx", "pos")).alias("seen"),
         F.min("numeric_value").alias("low"), F.max("numeric_value").alias("high"), F.bool_and(F.abs("numeric_value") < 20).alias("small"), F.sort_array(F.collect_list(value)).alias("values"),
     )
     w = Window.partitionBy(group)
