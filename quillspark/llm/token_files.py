@@ -23,7 +23,10 @@ MANIFEST = "part int, ids_file string, docs_file string, n_ids bigint, n_docs bi
 def _filesystem(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
+    try:
+        return fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
+    except Exception as e:
+        raise ValueError(f"{uri}: pyarrow can't open this file system; name another folder") from e
 
 
 def _reader(uri: str):

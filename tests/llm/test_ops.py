@@ -670,6 +670,66 @@ def test_common_items_and_hubs(spark):
         assert got == {n: 900 if n >= 900 else 0 for e in edges for n in e}
 
 
+# all: null ids, repeated rows, columns with the names of working columns, empty tables
+
+CLASH = "id long, row long, rep long, x int, n int, key string, block string, kind int, t int, e int, q string, v string, keys string, ids string, items string, tau int, trusted string, centre int, size int, threshold int"
+CLASHING = tuple(None if "int" in c or "long" in c else "own" for c in CLASH.split(","))
+
+
+def test_awkward_documents(spark, tmp_path):
+    """Every operator over documents: each row is answered for, whatever stands beside or repeats."""
+    from quillspark.llm import byte_bpe, minhash_dedup, packing, pii, quality, secrets, token_files
+
+    said = ["the river ran past the old mill while two boats went by", "token=abcdef123456 a@b.co", "", None, "word " * 3000]
+    rows = [(i, t, "en", *CLASHING) for i, t in enumerate(said)] + [(1, said[1], "en", *CLASHING), (None, said[0], None, *CLASHING), (None, None, None, *CLASHING)]
+    schema = f"doc_id long, text string, lang string, {CLASH}"
+    labels = spark.createDataFrame([(0, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    docs, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    counted = {
+        "secrets": lambda d: secrets.find_secrets(d),
+        "pii": lambda d: pii.find_pii(d),
+        "quality": lambda d: quality.classify(d, labels),
+        "near": lambda d: minhash_dedup.near_documents(d),
+        "bytes": lambda d: byte_bpe.decode(byte_bpe.encode(d, BYTE, P.PATTERN), BYTE, P.PATTERN),
+        "files": lambda d: token_files.read_documents(token_files.write_token_files(d, WORD, end_id=2, length=64)),
+    }
+    want = sorted(-1 if r[0] is None else r[0] for r in rows)
+    for name, apply in counted.items():
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in apply(docs).select("doc_id").collect()) == want, name
+        assert apply(none).count() == 0, name
+    whole = collections.Counter()
+    for r in packing.pack(docs, WORD, end_id=1, capacity=64).collect():
+        whole[r.doc_id] += r.length
+    ids = {t: n for t, n in zip(said, [len(x) + 1 for x in _word_ids(said)])}
+    assert whole == {0: ids[said[0]], 1: 2 * ids[said[1]], 2: 1, 3: 1, 4: ids[said[4]], None: ids[said[0]] + 1}
+    assert packing.pack(none, WORD, end_id=1, capacity=64).count() == 0
+
+
+def _word_ids(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORD)
+    return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_awkward_vectors_and_turns(spark):
+    from quillspark.llm.chat import conversation_nodes, digests, format_trees
+    from quillspark.llm.embedding_dedup import near_vectors
+    from quillspark.llm.topk import top_k
+
+    rows = [(i, [float(i + 1), 1.0], *CLASHING) for i in range(4)] + [(0, [1.0, 1.0], *CLASHING), (None, [1.0, 2.0], *CLASHING), (9, None, *CLASHING)]
+    schema = f"vec_id long, embedding array<double>, {CLASH}"
+    vectors, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    got = near_vectors(vectors, similarity=0.9).collect()
+    assert len(got) == len(rows) and all(r.kept for r in got if r.vec_id in (None, 9)) and near_vectors(none).count() == 0
+    best = top_k(vectors, F.col("vec_id") == 0, k=5).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(best, key=lambda r: r.rank)] == [(1, 3), (2, 2), (3, 1)] and top_k(none, F.col("vec_id") == 0).count() == 0
+    turns = [(1, 0, "user", "hi", *CLASHING), (1, 0, "user", "hi", *CLASHING), (1, None, "assistant", None, *CLASHING), (None, 1, None, "x", *CLASHING)]
+    schema = f"conv_id long, turn long, role string, text string, {CLASH}"
+    said = {r.tree_id: r.n_turns for r in digests(format_trees(conversation_nodes(spark.createDataFrame(turns, schema)))).collect()}
+    assert said[1] == 3 and format_trees(conversation_nodes(spark.createDataFrame([], schema))).count() == 0
+
+
 # the pipeline
 
 
@@ -697,3 +757,11 @@ def test_pipeline(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == {None, *range(80), 102, 103}
     assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) == len(packed)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
