@@ -8,16 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import spread, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.packing import pack
 
-    pieces = pack(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1, capacity=2048)
+    pieces = pack(documents(spark, sf_dir), WORD_BPE, end_id=1, capacity=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
@@ -78,20 +82,20 @@ FROM e GROUP BY conv_id
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.secrets import digest, find_secrets
 
-    return digest(find_secrets(table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
+    return digest(find_secrets(documents(spark, sf_dir)), ("assign", "access", "hex"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.pii import find_pii
     from quillspark.llm.secrets import digest
 
-    return digest(find_pii(table(spark, sf_dir, "documents")), ("email", "ip", "card", "phone"))
+    return digest(find_pii(documents(spark, sf_dir)), ("email", "ip", "card", "phone"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.byte_bpe import decode, encode
 
-    both = decode(encode(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN), BYTE_BPE, public_tokenizers.PATTERN)
+    both = decode(encode(documents(spark, sf_dir), BYTE_BPE, public_tokenizers.PATTERN), BYTE_BPE, public_tokenizers.PATTERN)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -129,20 +133,20 @@ FROM v JOIN roots ON roots.node = v.vec_id
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.quality import classify
 
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.token_files import read_documents, write_token_files
 
-    manifest = write_token_files(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2, length=2048)
+    manifest = write_token_files(documents(spark, sf_dir), WORD_BPE, end_id=2, length=2048)
     return read_documents(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.minhash_dedup import near_documents
 
-    return near_documents(table(spark, sf_dir, "documents"), similarity=0.8, width=5)
+    return near_documents(documents(spark, sf_dir), similarity=0.8, width=5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
