@@ -8,22 +8,20 @@ boundaries and case folding cover Unicode; the bare pattern serves other engines
 from __future__ import annotations
 
 
+_FIRSTS: dict[str, str] = {}
+
+
 def whole(*terms: str) -> str:
-    return r"\b(?:" + "|".join(terms) + r")\b"
+    pattern = r"\b(?:" + "|".join(terms) + r")\b"
+    firsts = {t[0].lower() for t in terms}
+    # what is no plain character at a term's start may stand for others
+    _FIRSTS[pattern] = "".join(sorted(firsts)) if all(c.isalnum() for c in firsts) else ""
+    return pattern
 
 
 def initials(pattern: str) -> str:
-    """The characters that a list made by whole() can start with; empty if one of them isn't plain."""
-    if not pattern.startswith(r"\b(?:") or not pattern.endswith(r")\b"):
-        return ""
-    depth, firsts, start = 0, [], True
-    for i, c in enumerate(pattern[5:-3], 5):
-        if start:
-            firsts.append(c)
-        start = c == "|" and depth == 0
-        escaped = pattern[i - 1] == "\\"
-        depth += (c == "(" and not escaped) - (c == ")" and not escaped)
-    return "".join(sorted({c.lower() for c in firsts})) if all(c.isalnum() for c in firsts) else ""
+    """The characters that a list made by whole() can start with; empty if one of them isn't plain, and for other patterns."""
+    return _FIRSTS.get(pattern, "")
 
 
 def guarded(pattern: str, fold: bool) -> str:

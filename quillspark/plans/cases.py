@@ -77,6 +77,23 @@ def q_examples(spark, d):
     return analyze(readers.examples(spark)).select("label", "assessment.recommended_action", "assessment.custody_warning_level", "assessment.scores.overall_confidence")
 
 
+# requests
+
+_REQUEST_SQL = f"""SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 7 = 3 THEN concat('no json ', CAST(p_partkey AS VARCHAR)) ELSE concat('{{"text": "', CASE WHEN p_partkey % 11 = 5 THEN ' ' ELSE concat('T ', CAST(p_partkey AS VARCHAR)) END, '", "source_type": "', {O.pick(C.TYPES, 'p_partkey')}, '", "source_name": "', CASE WHEN p_partkey % 2 = 0 THEN repeat('n', 199 + p_partkey % 5) ELSE '' END, '"', CASE WHEN p_partkey % 3 = 0 THEN ', "include_signal_brief": false' ELSE '' END, '}}') END AS value FROM part"""
+
+
+@query(f"""WITH v AS ({_REQUEST_SQL}), j AS (SELECT doc_id, CASE WHEN json_valid(value) THEN value ELSE '{{}}' END AS j FROM v), r AS (SELECT doc_id, j->>'$.text' AS text, j->>'$.source_type' AS source_type, j->>'$.source_name' AS name, coalesce(CAST(j->>'$.include_signal_brief' AS BOOLEAN), true) AS include_signal_brief FROM j)
+SELECT doc_id, text, source_type, coalesce(nullif(substring(name, 1, 200), ''), 'unknown') AS source_name, '' AS source_url, include_signal_brief, CASE WHEN trim(coalesce(text, '')) = '' THEN 'bad_request' ELSE 'ok' END AS status FROM r""")
+def q_json_requests(spark, d):
+    k = F.col("p_partkey")
+    text = F.when(k % 11 == 5, " ").otherwise(F.concat(F.lit("T "), k.cast("string")))
+    name = F.when(k % 2 == 0, F.repeat(F.lit("n"), (199 + k % 5).cast("int"))).otherwise("")
+    brief = F.when(k % 3 == 0, ', "include_signal_brief": false').otherwise("")
+    json = F.concat(F.lit('{"text": "'), text, F.lit('", "source_type": "'), _pick(C.TYPES, k), F.lit('", "source_name": "'), name, F.lit('"'), brief, F.lit("}"))
+    lines = C.table(spark, d, "part").select(k.alias("doc_id"), F.when(k % 7 == 3, F.concat(F.lit("no json "), k.cast("string"))).otherwise(json).alias("value"))
+    return readers.validate(readers.parsed(lines)).drop("value").withColumn("include_signal_brief", F.coalesce("include_signal_brief", F.lit(True)))
+
+
 # comparisons of one to twelve documents
 
 LABELS = ("30-Year Treasury", "10-Year Treasury", "5-Year Treasury", "2-Year Treasury", "S&P 500", "Nasdaq Composite", "Dow Jones", "Russell 2000", "Brent crude", "WTI crude", "Gold", "VIX", "Dollar Index", "EUR/USD", "USD/JPY", "CPI", "PPI", "PCE", "PMI", "GDP", "jobless claims", "retail sales")

@@ -30,7 +30,12 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 def requests(spark: SparkSession, path: str) -> DataFrame:
     """A document for each JSON request, one a line; what isn't JSON gives nulls and fails validation."""
-    return spark.read.text(path).select(F.from_json("value", REQUEST).alias("r")).select("r.*")
+    return parsed(spark.read.text(path)).drop("value")
+
+
+def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
+    """lines with the fields of the JSON request in column value."""
+    return lines.withColumn("__r", F.from_json(value, REQUEST)).select(*lines.columns, "__r.*")
 
 
 def text_stream(spark: SparkSession, path: str) -> DataFrame:

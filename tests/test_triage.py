@@ -183,3 +183,28 @@ def test_long_documents(spark):
     assert got[0][0].company == "Foo"
     marks = spark.createDataFrame([("the audit of 5 files. " * 20_000,)], "text string").select(F.size(T.snippets(F.col("text"), "evidence", None)).alias("n"), T.attribution(F.col("text"))).first()
     assert marks.n == 20_000 and time.time() - began < 120
+
+
+def test_own_columns_pass_through(spark):
+    from quillspark.plans.triage import analyze
+
+    rows = spark.createDataFrame([("Numbers rose.", 1, "x", 2.0, True, 7)], "text string, f int, r string, s double, d boolean, c int")
+    got = analyze(rows).first()
+    assert (got.f, got.r, got.s, got.d, got.c) == (1, "x", 2.0, True, 7) and got.assessment.word_count == 2
+
+
+def test_decisions_are_all_reached(spark):
+    """Every verdict, genre, flag, status and both values of each condition occur in queries that have SQL."""
+    import __spark_entry__ as entry
+    from quillspark.operators import scoring as S
+
+    sf = "/root/testdata/sf0.001"
+    rows = entry.queries()["q_case_decisions"](spark, sf).collect()
+    assert {r.verdict for r in rows} == set(S.VERDICTS) and {r.non_english for r in rows} == {True, False}
+    assert len({r.genre for r in rows}) == 9
+    flags = {f for r in rows for f in r.flags.split(",") if f}
+    flags |= {f for r in entry.queries()["q_flags"](spark, sf).collect() for f in r["flags"].split(",") if f} if "q_flags" in entry.queries() else set()
+    assert flags == set(S.FLAGS) - {"language"}
+    assert {r.status for r in entry.queries()["q_cross_entities"](spark, sf).collect()} == {"unique", "shared", "conflict", "alignment"}
+    assert {r.status for r in entry.queries()["q_cross_validate"](spark, sf).collect()} == {"ok", "too_few", "too_many", "bad_request"}
+    assert {r.mismatch for r in entry.queries()["q_case_timeframe"](spark, sf).collect()} == {True, False}
