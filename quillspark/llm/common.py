@@ -58,6 +58,13 @@ def worker_state(key, make):
     return _STATE[key]
 
 
+def fresh_worker() -> None:
+    """For operators that keep nothing: what another one kept in this Python worker goes."""
+    if _STATE:
+        _STATE.clear()
+        trim()
+
+
 def trim() -> None:
     """Gives freed memory back to the system; a worker that waits for its next task holds none of the last one's."""
     import ctypes
