@@ -41,8 +41,8 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return C.spread(C.table(spark, d, "documents").select("doc_id", "text"))
 
 
-def orders(spark: SparkSession, d: str) -> DataFrame:
-    return scored(C.orders_corpus(spark, d))
+def orders(spark: SparkSession, d: str, *only: str) -> DataFrame:
+    return scored(C.orders_corpus(spark, d), *only)
 
 
 def joined(column: str) -> Column:
@@ -146,7 +146,7 @@ def q_link_bonus(spark, d):
 
 @query(O.scored() + "SELECT doc_id, known AS label_type, custody_raw, custody, warning FROM z")
 def q_custody(spark, d):
-    return orders(spark, d).select("doc_id", "s.label_type", "s.custody_raw", "s.custody", "s.warning")
+    return orders(spark, d, "s.label_type", "s.custody_raw", "s.custody", "s.warning").select("doc_id", "s.label_type", "s.custody_raw", "s.custody", "s.warning")
 
 
 _LOW = "lower(text)"
@@ -178,7 +178,7 @@ def q_evidence_shape(spark, d):
 
 @query(O.scored() + "SELECT doc_id, anchored, unanchored, evidence, attribution, n_quotes FROM z")
 def q_evidence_anchor(spark, d):
-    return orders(spark, d).select("doc_id", F.col("f.anchored").cast("bigint").alias("anchored"), F.col("f.unanchored").cast("bigint").alias("unanchored"), "s.evidence", "f.attribution", F.col("f.n_quotes").cast("bigint").alias("n_quotes"))
+    return orders(spark, d, "f.anchored", "f.unanchored", "s.evidence", "f.attribution", "f.n_quotes").select("doc_id", F.col("f.anchored").cast("bigint").alias("anchored"), F.col("f.unanchored").cast("bigint").alias("unanchored"), "s.evidence", "f.attribution", F.col("f.n_quotes").cast("bigint").alias("n_quotes"))
 
 
 _SCORES = ("specificity", "evidence", "logic", "filler", "pressure", "bias_risk", "custody", "signal", "certainty_bias", "manipulation_risk", "noise", "gap", "overall", "coherence_raw")
@@ -186,22 +186,22 @@ _SCORES = ("specificity", "evidence", "logic", "filler", "pressure", "bias_risk"
 
 @query(O.scored() + f"SELECT doc_id, n_words, {', '.join(_SCORES)} FROM z")
 def q_scores(spark, d):
-    return orders(spark, d).select("doc_id", F.col("f.n_words").cast("bigint").alias("n_words"), *(f"s.{k}" for k in _SCORES))
+    return orders(spark, d, "f.n_words", *(f"s.{k}" for k in _SCORES)).select("doc_id", F.col("f.n_words").cast("bigint").alias("n_words"), *(f"s.{k}" for k in _SCORES))
 
 
 @query(O.scored() + "SELECT doc_id, low, high, width FROM z")
 def q_confidence_band(spark, d):
-    return orders(spark, d).select("doc_id", "s.low", "s.high", "s.width")
+    return orders(spark, d, "s.low", "s.high", "s.width").select("doc_id", "s.low", "s.high", "s.width")
 
 
 @query(O.scored() + f"SELECT doc_id, {O.FLAGS} AS flags FROM z")
 def q_flags(spark, d):
-    return orders(spark, d).select("doc_id", joined("d.flags").alias("flags"))
+    return orders(spark, d, "d.flags").select("doc_id", joined("d.flags").alias("flags"))
 
 
 @query(O.scored() + f"SELECT doc_id, verdict, {O.ACTION} AS action FROM z")
 def q_action(spark, d):
-    return orders(spark, d).select("doc_id", "d.verdict", "d.action")
+    return orders(spark, d, "d.verdict", "d.action").select("doc_id", "d.verdict", "d.action")
 
 
 @query(O.scored(O.PARTS) + f"SELECT doc_id, verdict, {O.ACTION} AS action, eff AS effective FROM z")
@@ -211,12 +211,12 @@ def q_action_snapshot(spark, d):
 
 @query(O.scored() + f"SELECT doc_id, {O.QUESTIONS} AS questions FROM z")
 def q_questions(spark, d):
-    return orders(spark, d).select("doc_id", joined("d.questions").alias("questions"))
+    return orders(spark, d, "d.questions").select("doc_id", joined("d.questions").alias("questions"))
 
 
 @query(O.scored() + f"SELECT doc_id, {O.TRIAGE} AS triage FROM z")
 def q_triage_summary(spark, d):
-    return orders(spark, d).select("doc_id", "d.triage")
+    return orders(spark, d, "d.triage").select("doc_id", "d.triage")
 
 
 # briefs
@@ -403,17 +403,17 @@ def q_compare_capsule(spark, d):
 
 @query(O.scored() + f"SELECT genre, {O.ACTION} AS action, count(*) AS n, round(avg(overall), 6) AS mean_confidence FROM z GROUP BY CUBE (genre, {O.ACTION})")
 def q_rollup_action_genre(spark, d):
-    return rollups.action_by_genre(orders(spark, d))
+    return rollups.action_by_genre(orders(spark, d, "f.genre", "d.action", "s.overall"))
 
 
 @query(O.scored() + "SELECT source_type, doc_id, overall, CAST(row_number() OVER w AS INTEGER) AS rank FROM z WINDOW w AS (PARTITION BY source_type ORDER BY overall DESC, doc_id) QUALIFY rank <= 3")
 def q_source_rank(spark, d):
-    return rollups.best_of_source(orders(spark, d), "source_type", "doc_id")
+    return rollups.best_of_source(orders(spark, d, "s.overall"), "source_type", "doc_id")
 
 
 @query(O.scored() + f"SELECT flag, count(*) AS n FROM (SELECT unnest(string_split({O.FLAGS}, ',')) AS flag FROM z) WHERE flag <> '' GROUP BY flag")
 def q_flag_counts(spark, d):
-    return rollups.flag_counts(orders(spark, d))
+    return rollups.flag_counts(orders(spark, d, "d.flags"))
 
 
 @query()

@@ -14,16 +14,20 @@ from quillspark.operators.briefs import brief, brief_by_genre
 WORKING = ("__f_", "__r_", "__s_", "__d_")
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, *only: str) -> DataFrame:
     """docs (without columns of these names) with the struct columns f, r, s and d: features, resolution, unrounded scores, decisions.
 
     The structs hang on a condition that is no constant to the optimizer: else a filter on one of their
-    fields would be pushed down with the whole tree of expressions in its place.
+    fields would be pushed down with the whole tree of expressions in its place. That keeps fields which nobody
+    reads, too; only names those to keep, as "s.overall", and what they don't need is never computed.
     """
     rows = S.decisions(S.scores(S.resolved(S.features(S.document(docs)))))
     flat = [c for c in rows.columns if c[:4] in WORKING]
+    kept = [c for c in flat if not only or f"{c[2]}.{c[4:]}" in only]
     here = F.spark_partition_id() >= 0
-    return rows.withColumns({k[2]: F.when(here, F.struct(*(F.col(c).alias(c[4:]) for c in flat if c.startswith(k)))) for k in WORKING}).drop(*flat)
+    own = [c for c in rows.columns if c not in flat]
+    made = {k[2]: [F.col(c).alias(c[4:]) for c in kept if c.startswith(k)] for k in WORKING}
+    return rows.select(*own, *(F.when(here, F.struct(*fields)).alias(k) for k, fields in made.items() if fields))
 
 
 def score_struct() -> Column:
