@@ -216,6 +216,15 @@ def q_brief_lines_parts(spark, d):
     return _brief_lines(C.parts_corpus(spark, d))
 
 
+_BEFORE = "Stocks fell early on the NASDAQ and NYSE. Acme Metals ("  # before the first row of every text
+
+
+@query(rf"""WITH c AS ({O.PARTS}), m AS (SELECT doc_id, unnest(range(1, 99)) AS i, regexp_extract_all(text, {O.rx('mover')}, 1) AS t FROM c), k AS (SELECT doc_id, i, t[i] AS ticker FROM m WHERE i <= len(t))
+SELECT doc_id, ticker, CASE WHEN min(i) = 1 THEN trim(regexp_extract({O.q(_BEFORE[-50:])}, '([A-Za-z][A-Za-z\s&'',.\-]{{2,35}})\s*\(\s*$', 1)) ELSE '' END AS company FROM k WHERE ticker NOT IN ({', '.join(map(O.q, O.L.FAKE_TICKERS))}) GROUP BY ALL""")
+def q_mover_companies(spark, d):
+    return C.parts_corpus(spark, d).select("doc_id", F.explode(B.movers(F.col("text"))).alias("m")).select("doc_id", "m.ticker", "m.company")
+
+
 def _sql_percent(x: str) -> str:
     return f"CAST(CAST(round_even({x} * 100, 0) AS BIGINT) AS VARCHAR)"
 
