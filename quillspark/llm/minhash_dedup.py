@@ -312,9 +312,10 @@ def near_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     named_rows = signed.df.where("id IS NOT NULL AND h1 IS NOT NULL")
     # the row of a multiset is settled once its table is written; ids and texts choose it, not the order of rows
     folded = Stored(named_rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "text_hash", "row")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")).select("h1", "h2", "first.*", "n", "keys").withColumnRenamed("row", "rep"), "classes")
-    met = folded.df.select("rep", F.explode("keys").alias("key"))
-    buckets = met.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = Stored(met.join(buckets.select("key", "leader"), "key"), "buckets")
+    # the text of least id leads: copies tend to come after what they were made from, and are nearer to it than to each other
+    met = folded.df.select("rep", "id", "text_hash", F.explode("keys").alias("key"))
+    buckets = met.groupBy("key").agg(F.min(F.struct("id", "text_hash", "rep")).getField("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    members = Stored(met.select("rep", "key").join(buckets.select("key", "leader"), "key"), "buckets")
     wanted = folded.df.select("id", "text_hash", "rep").join(members.df.select("rep").distinct(), "rep", "left_semi")
     found = rows_in.join(wanted, ["id", "text_hash"]).dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "text")
     items = Stored(found.mapInArrow(_items(width), "id bigint, items array<int>"), "shingles")
