@@ -119,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
 
         from quillspark.llm.word_tokens import WordEncoder
 
-        encoder, schema = WordEncoder.of(tokenizer, chunks=1 << 19), pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded_length")])
+        encoder, schema = WordEncoder.of(tokenizer, chunks=1 << 18), pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded_length")])
         first, shard, held = TaskContext.get().partitionId() << 32, [], 0
 
         def rows(columns):
