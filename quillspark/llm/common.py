@@ -115,10 +115,10 @@ class Stored:
     Use ``.df``; ``.drop()`` once everything made from it has been written.
     """
 
-    def __init__(self, df: DataFrame, what: str):
+    def __init__(self, df: DataFrame, what: str, codec: str | None = None):
         self.spark = df.sparkSession
         self.path = fresh_path(self.spark, what)
-        df.write.parquet(self.path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

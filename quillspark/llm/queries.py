@@ -12,6 +12,8 @@ from quillspark.llm.common import spread, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +151,61 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents(documents(spark, sf_dir), similarity=0.8, width=5)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.alignment import align_tokens
+
+    return align_tokens(documents(spark, sf_dir), BYTE_BPE_FILE, PIECE_BPE)
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.importance import resample
+
+    return resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), percent=10, longest=1, buckets=10000, least_words=20, seed=2024)
+
+
+OP12_SQL = r"""
+WITH crc AS (
+    SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS step
+    FROM range(256) AS r(n)
+),
+d AS (
+    SELECT row_number() OVER () AS doc_row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+),
+dw AS (SELECT doc_row, unnest(words) AS w FROM d),
+bw AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+h AS (SELECT w, hex(w) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+v AS (
+    SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+                              lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+    FROM h, crc
+),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN v USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bw JOIN v USING (w) GROUP BY bucket),
+n AS (SELECT CAST(10000 + coalesce((SELECT sum(n) FROM s), 0) AS DOUBLE) AS s_all, CAST(10000 + coalesce((SELECT sum(n) FROM t), 0) AS DOUBLE) AS t_all),
+gain AS (
+    SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1) * s_all / ((s.n + 1) * t_all))) AS BIGINT) AS gain
+    FROM s LEFT JOIN t USING (bucket), n
+),
+weight AS (SELECT doc_row, CAST(sum(gain) AS BIGINT) AS weight FROM dw JOIN v USING (w) JOIN gain USING (bucket) GROUP BY doc_row),
+scored AS (
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+    FROM d LEFT JOIN weight USING (doc_row)
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS place FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank
+FROM placed
+"""
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.token_counts import count_tokens
+
+    return count_tokens(documents(spark, sf_dir), BYTE_BPE_FILE, public_tokenizers.PATTERN, limit=512)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
@@ -161,8 +218,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_token_files": op9_token_files,
         "op10_minhash_dedup": op10_minhash_dedup,
+        "op11_alignment": op11_alignment,
+        "op12_importance": op12_importance,
+        "op13_token_counts": op13_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op3_chat": OP3_SQL, "op6_embedding_dedup": OP6_SQL}
+    return {"op1_topk": OP1_SQL, "op3_chat": OP3_SQL, "op6_embedding_dedup": OP6_SQL, "op12_importance": OP12_SQL}
