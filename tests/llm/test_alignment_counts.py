@@ -186,21 +186,24 @@ def test_characters_of_other_classes_are_left_to_the_tokenizer():
             assert sum(pre.lengths(pieces)) == len(pre.tokenizer.encode(text or "", add_special_tokens=False))
 
 
-def test_a_pre_token_is_counted_once(spark):
-    """Equal pre-tokens of all blocks meet in one stretch, and the tokenizer gets each once."""
+def test_a_pre_token_is_counted_once():
+    """Equal pre-tokens of all blocks of a shard are given to the tokenizer once; a bound on what is known changes no number."""
     import pyarrow as pa
 
     from quillspark.llm import token_counts
+    from quillspark.llm.blocks import packed, unpacked
 
-    pieces = ["a", "a", "b", "b", "b", "c"] * 1 + ["d"] * 20000
-    batches = [pa.RecordBatch.from_pydict({"piece": pieces[i : i + 5000], "block": list(range(len(pieces)))[i : i + 5000], "at": pa.array([0] * len(pieces[i : i + 5000]), pa.int32())}) for i in range(0, len(pieces), 5000)]
+    pieces = [["a", " stone", "xyzzyx"], ["a", " stone"], ["xyzzyx", " water", "a"]]
+    batch = pa.RecordBatch.from_pydict({"shard": pa.array([0, 0, 0], pa.int32()), "block": [1, 2, 3], "at": pa.array([0, 0, 0], pa.int32()), "pieces": [packed({"piece": p}) for p in pieces]})
     given, lengths = [], token_counts.PreTokens.lengths
     token_counts.PreTokens.lengths = lambda self, some: given.extend(some) or lengths(self, some)
     try:
-        out = list(token_counts._count(BYTES, P.PATTERN)(iter(batches)))
+        out = [token_counts._count(BYTES, P.PATTERN, known)(iter([batch.slice(0, 2), batch.slice(2)])) for known in (1 << 19, 2)]
+        wide, narrow = ([unpacked(raw).column(0).to_pylist() for b in o for raw in b.column(2).to_pylist()] for o in out[:1] * 1 + [out[1]])
+        once = sorted(given[:4])
     finally:
         token_counts.PreTokens.lengths = lengths
-    assert given == ["a", "b", "c", "d"] and sum(b.num_rows for b in out) == len(pieces) and {n for b in out for n in b.column(2).to_pylist()} == {1}
+    assert once == sorted({"a", " stone", "xyzzyx", " water"}) and wide == narrow and wide[0][:2] == [1, 1]
 
 
 def test_very_long_texts(spark):
