@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon as L
 from quillspark.functions import text as T
+from quillspark.plans.shared import written
 
 FOLLOW_UPS = {
     "treasury": "Treasury yield data of the issuer",
@@ -51,14 +52,9 @@ def _hits(text: Column, pattern: str, pass_: int) -> Column:
 CLAIM = "struct<new:boolean,pos:int,key:string,number:double,label:string,raw:string,context:string,new_entity:boolean>"
 
 
-def claims(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """A row for each claim: keys, pos, entity_key, entity_label, raw_value, numeric_value, unit, context, new_entity.
-
-    Labelled lines come before inline mentions; of the same entity and number in one document the first stays.
-    keys name a document, of one row; new_entity marks one claim of each entity in it. A document's claims are
-    sorted and read once, so its cost follows its length, and nothing is shuffled.
-    """
-    t = F.coalesce(F.col(text), F.lit(""))
+def claim_array(text: Column) -> Column:
+    """The claims of a text as an array of CLAIM, by entity and number, each entity and number once."""
+    t = F.coalesce(text, F.lit(""))
     both = F.concat(_hits(t, L.COLON_CLAIM, 1), _hits(t, L.INLINE_CLAIM, 2))
     named = F.transform(both, lambda x, i: F.struct(entity(x["fragment"]).alias("entity"), parse_value(x["raw"]).alias("number"), i.alias("pos"), x["raw"], x["context"]))
     known = F.filter(named, lambda x: x["entity"].isNotNull() & x["number"].isNotNull())
@@ -68,44 +64,119 @@ def claims(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
         ordered, F.struct(F.lit("").alias("key"), F.lit(0.0).alias("number")), last, CLAIM, lambda _, x: F.struct(x["key"], x["number"]),
         lambda was, x: F.struct((was["key"] != x["key"]) | (was["number"] != x["number"]), x["pos"], x["key"], x["number"], x["label"], x["raw"], x["context"], was["key"] != x["key"]),
     )
-    rows = df.select(*keys, F.explode(F.filter(marked, lambda x: x["new"])).alias("c"))
+    return F.filter(marked, lambda x: x["new"])
+
+
+def claims(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """A row for each claim: keys, pos, entity_key, entity_label, raw_value, numeric_value, unit, context, new_entity.
+
+    Labelled lines come before inline mentions; of the same entity and number in one document the first stays.
+    keys name a document, of one row; new_entity marks one claim of each entity in it. A document's claims are
+    sorted and read once, so its cost follows its length, and nothing is shuffled.
+    """
+    rows = df.select(*keys, F.explode(claim_array(F.col(text))).alias("c"))
     return rows.select(*keys, "c.pos", F.col("c.key").alias("entity_key"), F.col("c.label").alias("entity_label"), F.col("c.raw").alias("raw_value"), F.col("c.number").alias("numeric_value"), unit(F.col("c.raw")).alias("unit"), "c.context", "c.new_entity")
 
 
-def entities(found: DataFrame, group: str = "group_id") -> DataFrame:
-    """A row for each entity of each group, from claims with doc_idx and source_name: status, spread, values.
+#: Values that a comparison lists for each entity; the table of claims has them all.
+LISTED = 100
+_SALTS = 64
+
+
+def first_values(found: DataFrame, group: str, k: int) -> DataFrame:
+    """group, entity_key and ``values``: the first k by (doc_idx, pos). No task sends or holds more than k of an entity and salt.
 
-    status is unique, shared (crude benchmarks that are both present), conflict or alignment. Values are
-    partly aggregated before the shuffle by group and entity; what tells benchmarks apart takes another by group.
+    Ranks are limited before each exchange: first within parts of an entity by salt, then among what is left of it.
     """
     value = F.struct("doc_idx", "pos", F.col("source_name").alias("source"), F.col("numeric_value").alias("value"), "unit", F.col("raw_value").alias("raw"))
+    rows = found.select(group, "entity_key", value.alias("v"), F.pmod(F.xxhash64("doc_idx", "pos"), F.lit(_SALTS)).alias("salt"))
+    for keys in ([group, "entity_key", "salt"], [group, "entity_key"]):
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("v"))).where(F.col("nth") <= k)
+    return rows.groupBy(group, "entity_key").agg(F.sort_array(F.collect_list("v")).alias("values"))
+
+
+def _judged(item: Column, crude: Column) -> Column:
+    """item with spread and status: unique, shared (crude benchmarks that are both present), conflict or alignment."""
+    spread = item["high"] - item["low"]
+    reference = F.when(item["low"] != 0, F.abs(item["low"])).otherwise(1.0)
+    conflict = F.when(item["small"], spread > 0.15).otherwise(spread > reference * 0.02)
+    status = F.when(item["n_values"] == 1, "unique").when(crude & item["entity_key"].isin(*L.CRUDE_KEYS), "shared").when(conflict, "conflict").otherwise("alignment")
+    return item.withField("spread", spread).withField("status", status)
+
+
+def _both_crudes(items: Column) -> Column:
+    return F.size(F.array_intersect(F.transform(items, lambda x: x["entity_key"]), F.array(*map(F.lit, L.CRUDE_KEYS)))) == 2
+
+
+def grouped(found: DataFrame, group: str = "group_id", k: int = LISTED) -> DataFrame:
+    """A row for each group with claims: crude (both benchmarks are present) and items, its entities in first-seen order.
+
+    An item has counts, range, smallness and place of its first claim, which are aggregated in part before the shuffle,
+    and the first k values (none for k = 0, which spares their passes). A group has at most one item for each entity
+    that there is, so its row is bounded however many claims it has.
+    """
     by = found.groupBy(group, "entity_key").agg(
         F.first("entity_label").alias("entity_label"), F.count("*").alias("n_values"), F.count_if("new_entity").alias("n_docs"), F.min(F.struct("doc_idx", "pos")).alias("seen"),
-        F.min("numeric_value").alias("low"), F.max("numeric_value").alias("high"), F.bool_and(F.abs("numeric_value") < 20).alias("small"), F.sort_array(F.collect_list(value)).alias("values"),
+        F.min("numeric_value").alias("low"), F.max("numeric_value").alias("high"), F.bool_and(F.abs("numeric_value") < 20).alias("small"),
     )
-    w = Window.partitionBy(group)
-    crude = F.count_if(F.col("entity_key").isin(*L.CRUDE_KEYS)).over(w) == 2
-    spread = F.col("high") - F.col("low")
-    reference = F.when(F.col("low") != 0, F.abs("low")).otherwise(1.0)
-    conflict = F.when(F.col("small"), spread > 0.15).otherwise(spread > reference * 0.02)
-    status = F.when(F.col("n_values") == 1, "unique").when(crude & F.col("entity_key").isin(*L.CRUDE_KEYS), "shared").when(conflict, "conflict").otherwise("alignment")
-    return by.withColumns({"crude": crude, "spread": spread}).withColumn("status", status)
+    fields = ["seen", "entity_key", "entity_label", "n_values", "n_docs", "low", "high", "small"]
+    if k:
+        by, fields = by.join(first_values(found, group, k), [group, "entity_key"]), [*fields, "values"]
+    rows = by.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
+    crude = _both_crudes(F.col("items"))
+    return rows.select(group, crude.alias("crude"), F.transform("items", lambda x: _judged(x, crude)).alias("items"))
+
 
+def items_of(found: Column, k: int = LISTED) -> Column:
+    """The items of grouped() from an array of one group's claims, for groups that are gathered anyway."""
+    keys = F.array_distinct(F.transform(found, lambda x: x["entity_key"]))
 
-def compare(docs: DataFrame, group: str = "group_id") -> DataFrame:
+    def item(key: Column) -> Column:
+        return T.bound(F.filter(found, lambda x: x["entity_key"] == key), lambda own: F.struct(
+            F.array_min(F.transform(own, lambda x: F.struct(x["doc_idx"], x["pos"]))).alias("seen"), key.alias("entity_key"), own[0]["entity_label"].alias("entity_label"),
+            F.size(own).cast("bigint").alias("n_values"), F.size(F.filter(own, lambda x: x["new_entity"])).cast("bigint").alias("n_docs"),
+            F.array_min(F.transform(own, lambda x: x["numeric_value"])).alias("low"), F.array_max(F.transform(own, lambda x: x["numeric_value"])).alias("high"), F.forall(own, lambda x: F.abs(x["numeric_value"]) < 20).alias("small"),
+            F.slice(F.sort_array(F.transform(own, lambda x: F.struct(x["doc_idx"], x["pos"], x["source_name"].alias("source"), x["numeric_value"].alias("value"), x["unit"], x["raw_value"].alias("raw")))), 1, k).alias("values"),
+        ))
+
+    made = F.sort_array(F.transform(keys, item))
+    return T.bound(made, lambda items: T.bound(_both_crudes(items), lambda crude: F.transform(items, lambda x: _judged(x, crude))))
+
+
+def entities(found: DataFrame, group: str = "group_id", k: int = 0) -> DataFrame:
+    """A row for each entity of each group, from claims with doc_idx and source_name: counts, range, spread, status; for k > 0 the first k values."""
+    rows = grouped(found, group, k).select(group, "crude", F.explode("items").alias("x"))
+    return rows.select(group, "crude", "x.*")
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """docs with a source_name: a missing one is doc_ and the document's place."""
+    return docs.withColumn("source_name", F.coalesce(F.nullif(F.col("source_name"), F.lit("")), F.concat(F.lit("doc_"), (F.col("doc_idx") + 1).cast("string"))))
+
+
+def compare(docs: DataFrame, group: str = "group_id", k: int = LISTED) -> DataFrame:
     """A row for each group of documents (group, doc_idx, source_name, text): lists in first-seen order, note, follow-ups, summary.
 
-    A group of fewer than two documents has an error and empty lists. A missing name is doc_ and its place.
+    A group of fewer than two documents has an error and empty lists. A missing name is doc_ and its place. Lists give
+    the first k values of each entity and the number of all; claims are written to the shared folder once for k > 0.
     """
-    docs = docs.withColumn("source_name", F.coalesce(F.nullif(F.col("source_name"), F.lit("")), F.concat(F.lit("doc_"), (F.col("doc_idx") + 1).cast("string"))))
+    docs = named(docs)
     sizes = docs.groupBy(group).agg(F.count("*").alias("doc_count"))
-    rows = entities(claims(docs, [group, "doc_idx", "source_name"]), group)
-    item = F.struct("seen", "entity_key", "entity_label", T.py_round(F.col("spread"), 5).alias("spread"), "values", "status")
-    lists = rows.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("items"), F.bool_or("crude").alias("crude"))
-    whole = sizes.join(lists, group, "left").withColumn("items", F.coalesce("items", F.array().cast(dict(lists.dtypes)["items"])))
+    found = claims(docs, [group, "doc_idx", "source_name"])
+    return compared(sizes.join(grouped(written(found, "claims") if k else found, group, k), group, "left"), group)
+
+
+def compared(whole: DataFrame, group: str = "group_id") -> DataFrame:
+    """Rows of group, doc_count and items (null: none) as comparisons; other columns stay."""
+    kept = [c for c in whole.columns if c not in (group, "doc_count", "items", "crude")]
+    kind = dict(whole.dtypes)["items"]
+    whole = whole.withColumn("items", F.coalesce("items", F.array().cast(kind)))
     enough = F.col("doc_count") >= 2
     pick = lambda *s: F.filter("items", lambda x: enough & x["status"].isin(*s))
-    whole = whole.select(group, "doc_count", F.when(~enough, "a comparison needs two documents or more").alias("error"), pick("conflict", "alignment", "shared").alias("shared_claims"), pick("unique").alias("unique_claims"), pick("conflict").alias("conflicts"), pick("alignment").alias("alignment"), F.when(enough & F.coalesce("crude", F.lit(False)), CRUDE_NOTE).otherwise("").alias("crude_note"))
+    slim = lambda items: F.transform(items, lambda x: x.dropFields("low", "high", "small", "n_docs").withField("spread", T.py_round(x["spread"], 5)))
+    lists = {"shared_claims": ("conflict", "alignment", "shared"), "unique_claims": ("unique",), "conflicts": ("conflict",), "alignment": ("alignment",)}
+    note = F.when(enough & _both_crudes(F.col("items")), CRUDE_NOTE).otherwise("").alias("crude_note")
+    whole = whole.select(group, "doc_count", *kept, F.when(~enough, "a comparison needs two documents or more").alias("error"), *(slim(pick(*s)).alias(name) for name, s in lists.items()), note)
     keys = F.concat(*(F.transform(c, lambda x: x["entity_key"]) for c in ("shared_claims", "unique_claims")))
     follow = F.filter(F.array(*(F.when(F.arrays_overlap(keys, F.array(*map(F.lit, k))), F.lit(FOLLOW_UPS[n])) for n, k in L.FOLLOW_UP_KEYS)), lambda x: x.isNotNull())
     n, m, d = F.size("conflicts"), F.size("shared_claims"), F.col("doc_count")

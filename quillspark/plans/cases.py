@@ -139,7 +139,7 @@ def q_cross_lists(spark, d):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("group_id", "list", F.col("pos").cast("bigint").alias("pos"), "x.entity_key", "x.spread", F.size("x.values").cast("bigint").alias("n_values"))
+    return out.select("group_id", "list", F.col("pos").cast("bigint").alias("pos"), "x.entity_key", "x.spread", "x.n_values")
 
 
 _FOLLOW = ", ".join(f"CASE WHEN len(list_intersect(keys, {O.listed(k)})) > 0 THEN {O.q(K.FOLLOW_UPS[n])} END" for n, k in O.L.FOLLOW_UP_KEYS)

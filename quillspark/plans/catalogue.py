@@ -298,7 +298,7 @@ SELECT group_id, doc_count, coalesce(shared, 0) AS shared, coalesce(uniques, 0)
     WHEN coalesce(shared, 0) > 0 THEN printf('No conflicts in %d shared claim(s) of %d documents; values agree within tolerance.', shared, doc_count) ELSE printf('No shared numeric claims in %d documents.', doc_count) END AS triage_summary
 FROM t LEFT JOIN n USING (group_id)""")
 def q_compare_summary(spark, d):
-    rows = K.compare(C.events_corpus(spark, d))
+    rows = K.compare(C.events_corpus(spark, d), k=0)
     n = lambda c: F.size(c).cast("bigint")
     return rows.select("group_id", "doc_count", n("shared_claims").alias("shared"), n("unique_claims").alias("uniques"), n("conflicts").alias("conflicts"), n("alignment").alias("alignments"), "triage_summary")
 

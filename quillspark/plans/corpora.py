@@ -52,16 +52,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream of its files."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def orders_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document for each order: seven phrases, the day and the price, a type and a URL."""
+def order_time() -> Column:
+    """A time of the order's day, the same in every time zone."""
+    return F.timestamp_seconds(F.unix_date(F.col("o_orderdate").cast("date")).cast("bigint") * 86400 + F.col("o_orderkey") % 86400)
+
+
+def orders_corpus(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None, **more: Column) -> DataFrame:
+    """A document for each order: seven phrases, the day and the price, a type and a URL. orders: the table, or a stream of it."""
     k = F.col("o_orderkey")
     parts = [F.concat(_pick(PHRASES, k * m + o), F.lit(sep)) for m, o, sep in PICKS]
     tail = F.concat(F.lit(" On "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" the sum was $"), F.floor("o_totalprice").cast("string"), F.lit(" for 3 percent."))
-    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")).select(k.alias("doc_id"), F.concat(*parts, tail).alias("text"), _pick(TYPES, k).alias("source_type"), _pick(URLS, F.floor(k / 3)).alias("source_url"))
+    rows = table(spark, sf_dir, "orders") if orders is None else orders
+    made = (k.alias("doc_id"), F.concat(*parts, tail).alias("text"), _pick(TYPES, k).alias("source_type"), _pick(URLS, F.floor(k / 3)).alias("source_url"))
+    return spread(rows.select("o_orderkey", "o_orderdate", "o_totalprice")).select(*made, *(c.alias(name) for name, c in more.items()))
 
 
 def parts_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
