@@ -100,9 +100,9 @@ LABELS = ("30-Year Treasury", "10-Year Treasury", "5-Year Treasury", "2-Year Tre
 UNITS = (("", "%"), ("$", ""), ("", " bps"), ("", ""))
 
 
-def cross_corpus(spark: SparkSession, d: str) -> DataFrame:
+def cross_corpus(spark: SparkSession, d: str, orders: DataFrame | None = None) -> DataFrame:
     """A group for each 16 orders, of one document to all twelve, with three claims each: equal, near or far values."""
-    rows = C.spread(C.table(spark, d, "orders").select("o_orderkey"))
+    rows = C.spread((C.table(spark, d, "orders") if orders is None else orders).select("o_orderkey"))
     rows = rows.select(F.floor(F.col("o_orderkey") / 16).alias("group_id"), (F.col("o_orderkey") % 16).cast("int").alias("doc_idx")).where("doc_idx <= group_id % 12")
     g, i = F.col("group_id"), F.col("doc_idx")
     whole = F.when(g % 2 == 0, 3).otherwise(90 + g % 7) + i * (F.floor(g / 3) % 2)
@@ -145,10 +145,15 @@ def q_cross_lists(spark, d):
 _FOLLOW = ", ".join(f"CASE WHEN len(list_intersect(keys, {O.listed(k)})) > 0 THEN {O.q(K.FOLLOW_UPS[n])} END" for n, k in O.L.FOLLOW_UP_KEYS)
 
 
-@query(O.entities(CROSS_SQL) + _SIZED + f""", t AS (SELECT group_id, doc_count, doc_count >= 2 AS enough, coalesce(bool_or(crude), false) AS crude, count(*) FILTER (status = 'conflict') AS n, count(*) FILTER (status <> 'unique') AS m, coalesce(list(entity_key) FILTER (entity_key IS NOT NULL), []) AS keys FROM sizes LEFT JOIN entities USING (group_id) GROUP BY ALL)
+def summary_sql(corpus: str) -> str:
+    """Notes, follow-ups and summary of each group of a corpus."""
+    return O.entities(corpus) + _SIZED + f""", t AS (SELECT group_id, doc_count, doc_count >= 2 AS enough, coalesce(bool_or(crude), false) AS crude, count(*) FILTER (status = 'conflict') AS n, count(*) FILTER (status <> 'unique') AS m, coalesce(list(entity_key) FILTER (entity_key IS NOT NULL), []) AS keys FROM sizes LEFT JOIN entities USING (group_id) GROUP BY ALL)
 SELECT group_id, doc_count, CASE WHEN enough AND crude THEN {O.q(K.CRUDE_NOTE)} ELSE '' END AS crude_note, CASE WHEN enough THEN array_to_string(list_filter([{_FOLLOW}], lambda x: x IS NOT NULL), ' | ') ELSE '' END AS follow_ups,
   CASE WHEN NOT enough THEN 'Too few documents to compare.' WHEN n > 0 THEN printf('%d conflicting number(s) in %d documents with %d shared claim(s). Check times and definitions before passing on.', n, doc_count, m)
-    WHEN m > 0 THEN printf('No conflicts in %d shared claim(s) of %d documents; values agree within tolerance.', m, doc_count) ELSE printf('No shared numeric claims in %d documents.', doc_count) END AS triage_summary FROM t""")
+    WHEN m > 0 THEN printf('No conflicts in %d shared claim(s) of %d documents; values agree within tolerance.', m, doc_count) ELSE printf('No shared numeric claims in %d documents.', doc_count) END AS triage_summary FROM t"""
+
+
+@query(summary_sql(CROSS_SQL))
 def q_cross_summary(spark, d):
     rows = K.compare(cross_corpus(spark, d))
     return rows.select("group_id", "doc_count", "crude_note", F.array_join("follow_up_sources", " | ").alias("follow_ups"), "triage_summary")

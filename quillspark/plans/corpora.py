@@ -53,8 +53,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table as a stream of its files."""
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet")
+    """The table as a stream of its files; as a pattern, the path may be one file or a folder of them."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
