@@ -45,8 +45,8 @@ def unit(raw: Column) -> Column:
 
 def _hits(text: Column, pattern: str, pass_: int) -> Column:
     p = F.lit(L.jvm(pattern, fold=True))
-    parts = F.arrays_zip(*(F.regexp_extract_all(text, p, i).alias(k) for i, k in enumerate(("whole", "label", "value"))))
-    return F.transform(parts, lambda x, i: F.struct(F.lit(pass_).alias("pass"), i.alias("at"), T.strip(x["label"]).alias("fragment"), T.strip(x["value"]).alias("raw"), F.substring(x["whole"], 1, 120).alias("context")))
+    parts = F.arrays_zip(*(F.regexp_extract_all(text, p, i) for i in range(3)))  # whole match, label, value
+    return F.transform(parts, lambda x, i: F.struct(F.lit(pass_).alias("pass"), i.alias("at"), T.strip(x["1"]).alias("fragment"), T.strip(x["2"]).alias("raw"), F.substring(x["0"], 1, 120).alias("context")))
 
 
 CLAIM = "struct<new:boolean,pos:int,key:string,number:double,label:string,raw:string,context:string,new_entity:boolean>"
