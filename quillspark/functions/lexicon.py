@@ -7,6 +7,8 @@ boundaries and case folding cover Unicode; the bare pattern serves other engines
 
 from __future__ import annotations
 
+from re import _parser
+
 
 _FIRSTS: dict[str, str] = {}
 
@@ -30,6 +32,50 @@ def guarded(pattern: str, fold: bool) -> str:
     return f"(?=[{first if fold else first + first.upper()}]){pattern}" if first else pattern
 
 
+_UNKNOWN = {"\0"}
+
+
+def _one(op, arg) -> set[str]:
+    """What one element of a parsed pattern matches: ASCII letters and digits as they are, " " for others, a zero for any run."""
+    name = str(op)
+    if name == "LITERAL":
+        c = chr(arg).lower()
+        return {c if c.isascii() and c.isalnum() else " "}
+    if name == "IN":
+        parts = [_one(o, a) if str(o) == "LITERAL" else {" "} if (str(o), str(a)) == ("CATEGORY", "CATEGORY_SPACE") else _UNKNOWN for o, a in arg]
+        return _UNKNOWN if _UNKNOWN in parts else set().union(*parts)
+    if name == "ANY":
+        return {" ", *"abcdefghijklmnopqrstuvwxyz0123456789"}
+    if name == "BRANCH":
+        return set().union(*map(_ways, arg[1]))
+    if name == "SUBPATTERN":
+        return _ways(arg[-1])
+    if name == "MAX_REPEAT":
+        low, high, seq = arg
+        ways = _ways(seq)
+        once = ways if int(high) == 1 or ways == {" "} else _UNKNOWN
+        return once | ({""} if low == 0 else set())
+    return {""} if name == "AT" else _UNKNOWN
+
+
+def _ways(seq) -> set[str]:
+    out = {""}
+    for op, arg in seq:
+        out = {a + b for a in out for b in _one(op, arg)}
+    return out
+
+
+def needed_words(pattern: str) -> tuple[str, ...] | None:
+    """ASCII words in lower case, one of which stands by itself in every match of a list made by whole(); None if there are none such.
+
+    A match lies between word boundaries; of each form of it the longest word counts, for it is rarest.
+    """
+    if pattern not in _FIRSTS:
+        return None
+    forms = [[w for w in form.split(" ") if w and "\0" not in w] for form in _ways(_parser.parse(pattern))]
+    return tuple(sorted({min(words, key=lambda w: (-len(w), w)) for words in forms})) if all(forms) else None
+
+
 def jvm(pattern: str, fold: bool = False, multiline: bool = False) -> str:
     return f"(?U{'i' * fold}{'m' * multiline}){pattern}"
 

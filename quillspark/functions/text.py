@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.lexicon import CASED, FOLDED, guarded, jvm
+from quillspark.functions.lexicon import CASED, FOLDED, guarded, jvm, needed_words
 
 _SPACE = r"[\s\x1c-\x1f]"
 PLACE = "struct<s:int,e:int,m:string>"
 _GROUP, _PIECE = 64, 1024
+_MARK = "\x01"
 
 
 def strip(text: Column) -> Column:
@@ -51,6 +52,29 @@ def has(text: Column, name: str) -> Column:
     return text.rlike(pattern(name))
 
 
+#: Characters beyond ASCII that match ASCII letters where case is ignored.
+_FOLDS = ("ſ", "ı", "İ", "\u212a")
+
+
+def vocabulary(text: Column) -> Column:
+    """The ASCII words of a text in lower case, each once; null where other characters may stand for letters."""
+    return F.when(~any_of(text, _FOLDS), F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+")))
+
+
+def may_occur(vocabulary: Column, name: str) -> Column:
+    """False only where no match of a named pattern can be: none of the words that one must have is there.
+
+    One look into the words that a text has, in place of a pass of the pattern over the text.
+    """
+    words = needed_words(FOLDED[name] if name in FOLDED else CASED[name])
+    return F.lit(True) if words is None else vocabulary.isNull() | F.arrays_overlap(vocabulary, F.array(*map(F.lit, words)))
+
+
+def count_in(text: Column, vocabulary: Column, name: str) -> Column:
+    """count(), of a text with this vocabulary."""
+    return F.when(may_occur(vocabulary, name), count(text, name)).otherwise(0)
+
+
 def any_of(text: Column, parts: tuple[str, ...]) -> Column:
     """Whether one of the strings occurs, anywhere in a word."""
     found = F.lit(False)
@@ -106,10 +130,16 @@ def scan(items: Column, start: Column, state: str, out: str, step: Callable[[Col
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches of a pattern that never matches nothing: struct(s, e, m), places in code points, ends exclusive.
 
-    The pieces between matches and the matches, laid end to end, give the places.
+    Marks are put around the matches, in one pass; what lies between marks is by turns a gap and a match, whose lengths
+    give the places. A text with such a mark of its own takes two passes.
     """
-    laid = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
-    kept = F.filter(laid, lambda x: x["m"].isNotNull())
+    pair = lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m"))
+    laid = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), pair)
+    own = F.filter(laid, lambda x: x["m"].isNotNull())
+    parts = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    turns = lambda p: F.when(F.size(p) > 1, F.sequence(F.lit(0), F.size(p) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    marked = bound(parts, lambda p: F.transform(turns(p), lambda i: pair(p[i], p[i + 1])))
+    kept = F.when(F.contains(text, F.lit(_MARK)), own).otherwise(marked)
     end = lambda at, x: at + x["g"] + F.length(x["m"])
     return scan(kept, F.lit(0), "int", PLACE, end, lambda at, x: F.struct((at + x["g"]).alias("s"), end(at, x).alias("e"), x["m"].alias("m")))
 
@@ -158,15 +188,18 @@ def unique_folded(items: Column) -> Column:
     return F.aggregate(items, start, lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
 
 
-def found(text: Column, name: str) -> Column:
-    return unique_folded(F.regexp_extract_all(text, F.lit(pattern(name)), 0))
+def found(text: Column, name: str, vocabulary: Column | None = None) -> Column:
+    hits = F.regexp_extract_all(text, F.lit(pattern(name)), 0)
+    hits = hits if vocabulary is None else F.when(may_occur(vocabulary, name), hits).otherwise(F.array().cast("array<string>"))
+    return unique_folded(hits)
 
 
 def looks_non_english(text: Column) -> Column:
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     ascii_letters = F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
     english = has(text, "logic") | has(text, "hedges") | has(text, "certainty")
-    return (letters >= 20) & (ascii_letters / F.greatest(letters, F.lit(1)) < 0.70) & ~english
+    ascii_only = F.octet_length(text) == F.length(text)  # then all letters are ASCII
+    return ~ascii_only & (letters >= 20) & (ascii_letters / F.greatest(letters, F.lit(1)) < 0.70) & ~english
 
 
 def exclaims(text: Column) -> Column:
@@ -189,10 +222,14 @@ def attribution(text: Column) -> Column:
     return bound(counted, lambda c: F.when(c["all"] == 0, F.lit(0.0)).otherwise(clamp(c["n"] / F.greatest(c["all"], F.lit(1)))))
 
 
-def coherence(tokens: Column, sents: Column) -> Column:
-    """Connectives a sentence, variety of words and of sentence lengths; unrounded; 0.5 below ten words."""
-    low = F.transform(tokens, F.lower)
+def coherence(tokens: Column, sents: Column, low: Column | None = None, vocabulary: Column | None = None) -> Column:
+    """Connectives a sentence, variety of words and of sentence lengths; unrounded; 0.5 below ten words.
+
+    low: the tokens in lower case, vocabulary: that of the text, where they are at hand.
+    """
+    low = F.transform(tokens, F.lower) if low is None else low
     hits = count(F.array_join(low, " "), "connectives")
+    hits = hits if vocabulary is None else F.when(may_occur(vocabulary, "connectives"), hits).otherwise(0)
     connected = F.least(hits / F.greatest(F.size(sents), F.lit(1)) / 0.25, F.lit(1.0))
     variety = F.least(F.greatest((F.size(F.array_distinct(low)) / F.greatest(F.size(tokens), F.lit(1)) - 0.25) / 0.40, F.lit(0.0)), F.lit(1.0))
     sums = F.struct(F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("xx"))
@@ -202,7 +239,7 @@ def coherence(tokens: Column, sents: Column) -> Column:
         """Standard deviation over mean, from exact sums."""
         return F.least(F.sqrt((n * a["xx"] - a["x"] * a["x"]).cast("double")) / n / F.greatest(a["x"] / n, F.lit(1.0)) / 0.5, F.lit(1.0))
 
-    lengths = F.transform(sents, lambda s: n_words(s).cast("bigint"))
+    lengths = F.transform(sents, lambda s: F.size(F.split(s, jvm(f"{_SPACE}+"))).cast("bigint"))  # sentences() has stripped them
     relative = F.aggregate(lengths, sums, lambda a, x: F.struct((a["x"] + x).alias("x"), (a["xx"] + x * x).alias("xx")), spread)
     varied = F.when(F.size(sents) >= 3, relative).otherwise(F.lit(0.5))
     return F.when(F.size(tokens) < 10, F.lit(0.5)).otherwise(clamp(0.45 * connected + 0.40 * variety + 0.15 * varied))

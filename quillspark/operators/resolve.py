@@ -47,21 +47,27 @@ def resolve_by_genre(resolved: Column, genre: Column) -> Column:
     return F.struct(effective.alias("effective"), resolved["declared"].alias("declared"), resolved["inferred"].alias("inferred"), confidence.alias("confidence"), mismatch.alias("mismatch"))
 
 
-def genre(normalized: Column, url: Column) -> Column:
-    """Decision list over URL and term counts of the normalised text; later counts are made only where needed."""
+def genre(normalized: Column, url: Column, vocabulary: Column | None = None, terms: Column | None = None, numbers: Column | None = None) -> Column:
+    """Decision list over URL and term counts of the normalised text; later counts are made only where needed.
+
+    vocabulary, terms and numbers: those of the text, where they are at hand; terms and numbers decide several times.
+    """
+    if terms is None or numbers is None:
+        counts = F.struct(T.count(normalized, "fin_terms").alias("terms"), T.count(normalized, "fin_numeric").alias("numbers"))
+        return T.bound(counts, lambda c: genre(normalized, url, vocabulary, c["terms"], c["numbers"]))
     low = F.lower(url)
-    terms, numbers = T.count(normalized, "fin_terms"), T.count(normalized, "fin_numeric")
+    n = lambda name: T.count(normalized, name) if vocabulary is None else T.count_in(normalized, vocabulary, name)
     finance = (terms >= 2) | (numbers >= 2)
     return (
         F.when(T.has(low, "regulatory_url"), "regulatory_filing")
         .when(T.any_of(low, L.RELEASE_URLS), "official_release")
-        .when(T.count(normalized, "press_release") >= 2, "official_release")
-        .when(finance & (T.count(normalized, "allocation") >= 3), "investment_strategy_commentary")
-        .when(finance & (T.count(normalized, "macro_indicators") >= 3) & (T.count(normalized, "macro_regions") >= 2), "global_macro_market_update")
+        .when(n("press_release") >= 2, "official_release")
+        .when(finance & (n("allocation") >= 3), "investment_strategy_commentary")
+        .when(finance & (n("macro_indicators") >= 3) & (n("macro_regions") >= 2), "global_macro_market_update")
         .when((terms >= 4) & (numbers >= 3), "financial_market_snapshot")
         .when(T.any_of(low, L.NEWS_URLS), "news_article")
         .when(normalized.rlike(L.jvm(L.SOCIAL_HINTS, fold=True, multiline=True)), "social_post")
-        .when(T.has(normalized, "opinion_hints"), "opinion_article")
+        .when(n("opinion_hints") > 0, "opinion_article")
         .otherwise("generic_article")
     )
 
@@ -75,7 +81,8 @@ def link_class(host: Column) -> Column:
 
 def links(text: Column) -> Column:
     """struct(institutional, academic, social, web, bonus) of the links in the text."""
-    classes = F.transform(F.regexp_extract_all(text, F.lit(T.pattern("url")), 0), lambda u: link_class(T.netloc(u)))
+    urls = F.when(F.contains(text, F.lit("http")), F.regexp_extract_all(text, F.lit(T.pattern("url")), 0)).otherwise(F.array().cast("array<string>"))
+    classes = F.transform(urls, lambda u: link_class(T.netloc(u)))
     n = lambda kind: F.size(F.filter(classes, lambda c: c == kind))
     step = lambda a, c: a + F.when(c == "institutional", 0.04).when(c == "academic", 0.05).when(c == "social", -0.01).otherwise(0.015)
     bonus = T.clamp(F.aggregate(classes, F.lit(0.0), step), -0.10, 0.18)

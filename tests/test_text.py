@@ -61,3 +61,47 @@ def test_hosts(spark):
     urls = ["https://WWW.Sec.gov:8080/x", "http://user@x.com/a", "ftp://a.b", "no url", "https://a.gov).", ""]
     rows = frame(spark, urls).select("id", T.netloc(F.col("t")).alias("h")).orderBy("id").collect()
     assert [r.h for r in rows] == ["www.sec.gov:8080", "user@x.com", "a.b", "", "a.gov).", ""]
+
+
+def test_gates_open_for_every_match(spark):
+    """Counts behind a look into the vocabulary are the counts: phrases of the lists in odd surroundings, other letters and case foldings."""
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from quillspark.functions import lexicon as L
+    from quillspark.functions import text as T
+
+    rng, lists = random.Random(11), {**L.FOLDED, **L.CASED}
+    gated = {n: L.needed_words(p) for n, p in lists.items()}
+    assert all(gated[n] for n in ("certainty", "hedges", "hype", "urgency", "evidence", "logic", "bias", "attack", "filler", "anonymous", "fin_terms", "press_release", "allocation", "macro_regions", "provider", "venue", "connectives"))
+    assert gated["session"] is None and gated["specificity"] is None and "the" not in gated["certainty"]
+    loose = [re.sub(r"\\s[*+]?", " ", re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", t)).replace("[- ]", "-").replace("\\", "").replace("?", "") for n, p in lists.items() if gated[n] for t in p[5:-3].split("|")]
+    odd = ["ſ", "İ", "ı", "K", "é", "²", "_", "́", "-", "'", "\n", "", " ", ".", "1"]
+    texts = []
+    for _ in range(1500):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            t = rng.choice(loose)
+            t = rng.choice([t, t.upper(), t.title(), t.replace("s", "ſ", 1), t.replace("k", "K", 1), t.replace("i", "ı", 1)])
+            parts += [rng.choice(odd), t, rng.choice(odd), rng.choice([" ", "", "x"])]
+        texts.append("".join(parts))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("v", T.vocabulary(F.col("t")))
+    t, v = F.col("t"), F.col("v")
+    names = [n for n in lists if gated[n]]
+    wrong = rows.select(*(F.sum((T.count(t, n) != T.count_in(t, v, n)).cast("int")).alias(n) for n in names), *(F.sum(T.count(t, n)).alias(f"all_{n}") for n in names)).first()
+    assert all(wrong[n] == 0 for n in names) and sum(wrong[f"all_{n}"] > 0 for n in names) > 20
+
+
+def test_places_by_marks(spark):
+    """Places are those of Python's finditer, also in texts that have the mark themselves."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from quillspark.functions import text as T
+
+    texts = ["", "ab", "xabyab", "ab\x01ab x \x01", "é🙂ab ab🙂", "abab" * 200, "\x01", "$0ab\\1"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.matches(F.col("t"), "a(b)").alias("m"))
+    assert {r["i"]: [(x["s"], x["e"], x["m"]) for x in r["m"]] for r in rows.collect()} == {i: [(m.start(), m.end(), m.group()) for m in re.finditer("ab", t)] for i, t in enumerate(texts)}
