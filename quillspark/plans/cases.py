@@ -69,12 +69,15 @@ def q_case_timeframe(spark, d):
     return C.orders_corpus(spark, d).select("doc_id", B.timeframe_mismatch(F.col("text")).alias("mismatch"))
 
 
-_EXAMPLES = "SELECT * FROM (VALUES " + ", ".join(f"({O.q(a)}, {O.q(t)}, {O.q(k)}, '')" for a, t, k in readers.EXAMPLES) + ") AS v(label, text, source_type, source_url)"
+_LABELS, _TEXTS, _KINDS = zip(*readers.EXAMPLES)
+_EXAMPLES = f"SELECT p_partkey AS doc_id, {O.pick(_LABELS, 'p_partkey')} AS label, {O.pick(_TEXTS, 'p_partkey')} AS text, {O.pick(_KINDS, 'p_partkey')} AS source_type, '' AS source_url FROM part"
 
 
-@query(O.scored(_EXAMPLES) + f"SELECT label, {O.ACTION} AS recommended_action, warning AS custody_warning_level, round(overall, 3) AS overall_confidence FROM z")
+@query(O.scored(_EXAMPLES) + f"SELECT doc_id, label, {O.ACTION} AS recommended_action, warning AS custody_warning_level, round(overall, 3) AS overall_confidence FROM z")
 def q_examples(spark, d):
-    return analyze(readers.examples(spark)).select("label", "assessment.recommended_action", "assessment.custody_warning_level", "assessment.scores.overall_confidence")
+    k = F.col("p_partkey")
+    rows = C.spread(C.table(spark, d, "part").select(k)).select(k.alias("doc_id"), *(_pick(v, k).alias(n) for v, n in ((_LABELS, "label"), (_TEXTS, "text"), (_KINDS, "source_type"))))
+    return analyze(rows).select("doc_id", "label", "assessment.recommended_action", "assessment.custody_warning_level", "assessment.scores.overall_confidence")
 
 
 # requests

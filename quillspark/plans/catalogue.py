@@ -280,10 +280,10 @@ def q_claims(spark, d):
 _VALUES = ("4.61%", "$68.43/bbl", "4.25-4.75", "5,894", "25bps", "14.3.", "+0.02%", "-3", "1d", "12.5 per barrel", "4.25%-4.75%", "$1,234.5", "abc", "7.", ".5", "3–5")
 
 
-@query("WITH v AS (SELECT unnest(" + O.listed(_VALUES) + f") AS raw) SELECT raw, {O.parsed('raw')} AS number, {O.unit('raw')} AS unit FROM v")
+@query(f"WITH v AS (SELECT p_partkey, {O.pick(_VALUES, 'p_partkey')} AS raw FROM part) SELECT p_partkey, raw, {O.parsed('raw')} AS number, {O.unit('raw')} AS unit FROM v")
 def q_parse_value(spark, d):
-    rows = spark.createDataFrame([(v,) for v in _VALUES], "raw string")
-    return rows.select("raw", K.parse_value(F.col("raw")).alias("number"), K.unit(F.col("raw")).alias("unit"))
+    rows = C.table(spark, d, "part").select("p_partkey", C.pick(_VALUES, F.col("p_partkey")).alias("raw"))
+    return rows.select("p_partkey", "raw", K.parse_value(F.col("raw")).alias("number"), K.unit(F.col("raw")).alias("unit"))
 
 
 @query(O.entities() + "SELECT group_id, entity_key, n_values, n_docs, low, high, spread, status FROM entities")
@@ -349,7 +349,7 @@ def q_html_native_text(spark, d):
 
 @query()
 def q_html_text(spark, d):
-    return P.clean(C.table(spark, d, "pages")).select("page_id", "page.*")
+    return P.clean(C.spread(C.table(spark, d, "pages"))).select("page_id", "page.*")
 
 
 @query()

@@ -42,7 +42,7 @@ PICKS = ((1, 0, " "), (3, 5, " "), (5, 2, "\n"), (11, 7, " "), (13, 9, " "), (17
 CLAIM_LINES = {"click": ("CPI: ", "%"), "view": ("Gold: $", ""), "purchase": ("WTI crude: $", "/bbl"), "signup": ("The 10-year Treasury stands at ", "%"), "error": ("S&P 500 reached ", "")}
 
 
-def _pick(values: tuple[str, ...], index: Column) -> Column:
+def pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index % len(values) + 1).cast("int"))
 
 
@@ -69,10 +69,10 @@ def order_time() -> Column:
 def orders_corpus(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None, **more: Column) -> DataFrame:
     """A document for each order: seven phrases, the day and the price, a type and a URL. orders: the table, or a stream of it."""
     k = F.col("o_orderkey")
-    parts = [F.concat(_pick(PHRASES, k * m + o), F.lit(sep)) for m, o, sep in PICKS]
+    parts = [F.concat(pick(PHRASES, k * m + o), F.lit(sep)) for m, o, sep in PICKS]
     tail = F.concat(F.lit(" On "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" the sum was $"), F.floor("o_totalprice").cast("string"), F.lit(" for 3 percent."))
     rows = table(spark, sf_dir, "orders") if orders is None else orders
-    made = (k.alias("doc_id"), F.concat(*parts, tail).alias("text"), _pick(TYPES, k).alias("source_type"), _pick(URLS, F.floor(k / 3)).alias("source_url"))
+    made = (k.alias("doc_id"), F.concat(*parts, tail).alias("text"), pick(TYPES, k).alias("source_type"), pick(URLS, F.floor(k / 3)).alias("source_url"))
     return spread(rows.select("o_orderkey", "o_orderdate", "o_totalprice")).select(*made, *(c.alias(name) for name, c in more.items()))
 
 
@@ -83,9 +83,9 @@ def parts_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.floor(F.col("p_retailprice")).cast("string")
     text = F.concat(
         F.lit("Stocks fell early on the NASDAQ and NYSE. Acme Metals ("), ticker(1), F.lit(") at $"), price, F.lit(".50 (+"), (k % 30).cast("string"), F.lit(".5%) led. "),
-        ticker(7), F.lit(" at C$ "), price, F.lit(" -"), (k % 9).cast("string"), F.lit(".2% on volume.\n"), ticker(1), F.lit(" again $1.10 +2.0%\nThe OTC at $3.00 +1.0% is no ticker.\nS&P 500: +0."), (k % 10).cast("string"), F.lit("2% at close.\n"), _pick(PHRASES, k * 3),
+        ticker(7), F.lit(" at C$ "), price, F.lit(" -"), (k % 9).cast("string"), F.lit(".2% on volume.\n"), ticker(1), F.lit(" again $1.10 +2.0%\nThe OTC at $3.00 +1.0% is no ticker.\nS&P 500: +0."), (k % 10).cast("string"), F.lit("2% at close.\n"), pick(PHRASES, k * 3),
     )
-    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")).select(k.alias("doc_id"), text.alias("text"), _pick(TYPES, k).alias("source_type"), F.lit("").alias("source_url"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")).select(k.alias("doc_id"), text.alias("text"), pick(TYPES, k).alias("source_type"), F.lit("").alias("source_url"))
 
 
 def events_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
