@@ -186,3 +186,60 @@ def test_summaries_are_bounded(spark):
     assert few.groupBy("group_id").agg(items_of(whole, 5).alias("items")).first()["items"] == grouped(few, k=5).first()["items"]
     empty = spark.createDataFrame([], DOC)
     assert compare(empty).count() == 0
+
+
+# sinks
+
+
+def test_rendered_documents_come_once_after_a_failure(spark, tmp_path):
+    """A run that dies in a batch, with and without its files written, and one that goes on from its checkpoint."""
+    from quillspark.plans.triage import analyze
+    from quillspark.streaming import sinks
+
+    schema = "doc_id long, text string"
+    rows = [(i, f"The audit of site {i} reported 3.{i} percent, however it may change.") for i in range(40)]
+    feed(spark, str(tmp_path / "in"), list(rows), schema, 10, 1)
+    flag = tmp_path / "dies"
+    flag.write_text("")
+
+    def check(i, path=str(flag)):
+        import os
+
+        if i == 25 and os.path.exists(path):
+            raise RuntimeError("killed")
+        return i
+
+    docs = stream(spark, str(tmp_path / "in"), schema).withColumn("doc_id", F.udf(check, "long")("doc_id"))
+    want = {r["doc_id"]: r["value"] for r in sinks.rendered(spark.createDataFrame(rows, schema), "capsule").collect()}
+    places = {k: str(tmp_path / k) for k in ("files", "files-log", "batches", "batches-log")}
+    for start, name in ((sinks.write_rendered, "files"), (sinks.write_batches, "batches")):
+        flag.write_text("")
+        for fails in (True, False):
+            if not fails:
+                flag.unlink()
+            query = start(docs, "capsule", places[name], places[f"{name}-log"], available=True)
+            try:
+                query.awaitTermination()
+                assert not fails
+            except Exception as e:  # noqa: BLE001  the stream's own error
+                assert fails and "killed" in str(e)
+        got = (sinks.read_rendered(spark, places[name]) if name == "files" else spark.read.parquet(places[name])).collect()
+        assert len(got) == 40 and {r["doc_id"]: r["value"] for r in got} == want
+    again = sinks.write_batches(docs, "capsule", places["batches"], str(tmp_path / "lost-log"), available=True)
+    again.awaitTermination()
+    assert spark.read.parquet(places["batches"]).count() == 40
+    with pytest.raises(ValueError):
+        sinks.rendered(analyze(spark.createDataFrame(rows, schema)), "poem")
+
+
+def test_every_kind_of_rendering(spark):
+    import json
+
+    from quillspark.streaming import sinks
+
+    docs = spark.createDataFrame([(1, "Act now!! This shocking secret is guaranteed."), (2, None)], "doc_id long, text string")
+    for kind in sinks.KINDS:
+        got = {r["doc_id"]: r["value"] for r in sinks.rendered(docs, kind, day=F.lit("2024-01-01").cast("date")).collect()}
+        assert set(got) == {1, 2} and all(got.values())
+        if kind in ("json", "envelope"):
+            assert all(isinstance(json.loads(v), dict) for v in got.values())
