@@ -53,8 +53,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table as a stream of its files; as a pattern, the path may be one file or a folder of them."""
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    """The table as a stream of its files, over all cores, as a batch may be one file; as a pattern, the path may be one file or a folder of them."""
+    rows = spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    return rows.repartition(spark.sparkContext.defaultParallelism)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
