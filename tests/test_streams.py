@@ -198,7 +198,7 @@ def test_rendered_documents_come_once_after_a_failure(spark, tmp_path):
 
     schema = "doc_id long, text string"
     rows = [(i, f"The audit of site {i} reported 3.{i} percent, however it may change.") for i in range(40)]
-    feed(spark, str(tmp_path / "in"), list(rows), schema, 10, 1)
+    feed(spark, str(tmp_path / "in"), list(rows), schema, 20, 1)
     flag = tmp_path / "dies"
     flag.write_text("")
 
