@@ -1,4 +1,4 @@
-"""Queries over word lists as tables and over files of text, with their SQL."""
+"""Queries over word lists as tables, files of text and stored sketches, with their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from quillspark.operators.lexicons import list_hits
 from quillspark.plans import corpora as C
 from quillspark.plans import oracle as O
 from quillspark.plans.catalogue import query
-from quillspark.plans.shared import fresh
+from quillspark.plans.shared import fresh, written
+from quillspark.plans.sketches import answers, daily, merged
+from quillspark.plans.triage import scored
 from quillspark.sources import readers
 from quillspark.streaming.runs import run_available
 
@@ -39,3 +41,15 @@ def q_text_lines(spark, d):
     C.table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.text(folder)
     lines = run_available(readers.text_stream(spark, folder), "lines")
     return lines.groupBy("text").agg(F.count("*").alias("n")).select(F.sha2("text", 256).alias("line_sha256"), F.length("text").cast("bigint").alias("n_chars"), "n")
+
+
+@query(O.scored() + f"""SELECT month, n, n_sources, top FROM (SELECT month, sum(k)::BIGINT AS n, string_agg(concat(action, ':', k::VARCHAR), ',' ORDER BY k DESC, action) AS top FROM (
+  SELECT strftime(o_orderdate, '%Y-%m') AS month, {O.ACTION} AS action, count(*) AS k FROM z JOIN orders ON o_orderkey = doc_id GROUP BY ALL) GROUP BY month)
+JOIN (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(DISTINCT source_type) AS n_sources FROM z JOIN orders ON o_orderkey = doc_id GROUP BY ALL) USING (month)""")
+def q_sketch_months(spark, d):
+    """Months from the stored sketches of their days; few sources and actions, so their numbers are exact."""
+    rows = scored(C.orders_corpus(spark, d, day=F.col("o_orderdate").cast("date")), "s.overall", "d.action")
+    days = daily(rows.select("day", F.col("source_type").alias("source"), F.col("s.overall").alias("overall"), F.col("d.action").alias("action")))
+    months = answers(merged(written(days, "sketches").withColumn("month", F.date_format("day", "yyyy-MM")), "month"))
+    top = F.array_join(F.transform("top", lambda x: F.concat(x["item"], F.lit(":"), x["n"].cast("string"))), ",")
+    return months.select("month", "n", "n_sources", top.alias("top"))
