@@ -36,3 +36,17 @@ def test_runs_are_linear(spark):
     """200,000 words in one text."""
     rows = spark.createDataFrame([("a b c " * 66667,)], "t string").select(F.size(lexicons.runs(F.split(F.trim("t"), " "), 4)).alias("n"))
     assert rows.first()["n"] == 200001 + 200000 + 199999 + 199998
+
+
+def test_only_phrases_of_a_small_lexicon_become_rows(spark):
+    """Each run of words of each document became a row, and hits were shuffled twice."""
+    rows = spark.createDataFrame([(k, t, "2024-01-01") for k, t in enumerate(("May be, may be early evidence suggests MAY", "a b a b a", "é may_be may be", "", None, "b" * 9))], "doc_id long, text string, day string")
+    lexicon = spark.createDataFrame([("l", t, w, "2020-01-01", None) for t, w in (("may", 1.0), ("may be", 2.0), ("early evidence suggests", 3.0), ("a b a", 4.0), ("b", 5.0))] + [("m", "May be", 1.0, "2020-01-01", "2024-01-02")], "list string, term string, weight double, valid_from string, valid_to string")
+    got = lexicons.list_hits(rows, lexicon)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    few, lexicons.LITERAL_ROWS = lexicons.LITERAL_ROWS, 0
+    try:
+        all_runs = lexicons.list_hits(rows, lexicon)
+    finally:
+        lexicons.LITERAL_ROWS = few
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, all_runs.collect())) == [(0, "l", 6, 3, 10.0), (0, "m", 2, 1, 2.0), (1, "l", 4, 2, 18.0), (2, "l", 2, 2, 3.0), (2, "m", 1, 1, 1.0)]
