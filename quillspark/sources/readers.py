@@ -43,14 +43,20 @@ def text_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.text(path).select(F.col("value").alias("text"))
 
 
-def validate(docs: DataFrame, max_chars: int | Column = PUBLIC_CHARS) -> DataFrame:
-    """docs with ``status``: ok, bad_request (blank text) or text_too_long; name and URL filled and cut."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def validate(docs: DataFrame, max_chars: int | Column = PUBLIC_CHARS, *, spaces: str | None = T.SPACES, null_is_blank: bool = True) -> DataFrame:
+    """docs with ``status``: ok, bad_request (blank text) or text_too_long; name and URL filled and cut.
+
+    spaces: the characters that leave a text blank, None to ask for its length only; null_is_blank: whether a text that
+    is null is refused, too, as in requests, or has nothing that could be refused, as in SQL.
+    """
+    text = F.col("text").cast("string")
+    text = F.coalesce(text, F.lit("")) if null_is_blank else text
     have = set(docs.columns)
     name = F.coalesce(F.nullif(F.substring(F.col("source_name").cast("string"), 1, MAX_NAME), F.lit("")), F.lit("unknown")) if "source_name" in have else F.lit("unknown")
     url = F.coalesce(F.substring(F.col("source_url").cast("string"), 1, MAX_URL), F.lit("")) if "source_url" in have else F.lit("")
     limit = F.lit(max_chars) if isinstance(max_chars, int) else max_chars
-    status = F.when(T.strip(text) == "", "bad_request").when(F.length(text) > limit, "text_too_long").otherwise("ok")
+    blank = F.lit(False) if spaces is None else F.btrim(text, F.lit(spaces)) == ""
+    status = F.when(blank, "bad_request").when(F.length(text) > limit, "text_too_long").otherwise("ok")
     return docs.withColumns({"source_name": name, "source_url": url, "status": status})
 
 
